@@ -1,0 +1,19 @@
+"""Queries of the problems on texts and listings."""
+
+from pyspark.sql import functions as F
+
+from placewright.llm import reading, tokens
+from placewright.sources.tables import table
+
+
+def p7_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
+def p9_found(spark, d):
+    docs = table(spark, d, "documents").where(~F.coalesce(F.col("lang"), F.lit("")).isin("de", "es"))
+    return reading.reading_levels(docs, table(spark, d, "level_labels")).select("doc_id", "reading_level")
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found}
+SQL: dict[str, str] = {}
