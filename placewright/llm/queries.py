@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from placewright.llm import reading, tokens
+from placewright.llm import near_dup, reading, tokens
 from placewright.sources.tables import table
 
 
+def listings(spark, d):
+    return near_dup.columns_as_words(table(spark, d, "silver_places"), "id", F.col("name"), F.col("description"), near_dup.bare_site(F.col("website")))
+
+
+def p4_found(spark, d):
+    return near_dup.near_duplicate_pairs(listings(spark, d))
+
+
 def p7_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
 
@@ -15,5 +23,5 @@ def p9_found(spark, d):
     return reading.reading_levels(docs, table(spark, d, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found}
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
