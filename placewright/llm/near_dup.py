@@ -48,14 +48,23 @@ def word_set(*texts: Column) -> Column:
 
 
 def _prefixes(counters, bits: int, num: int, den: int, cold: int):
-    """Postings of each set: key, sid, n (length), pos (position of the key's first word among the words in order), gram."""
+    """Postings of each set: key, sid, at, s1, s2.
+
+    ``at`` packs the length n, the position of the key's first word among the words in order, and
+    whether the key also lies in the prefix that serves the shorter set of a pair. ``s1`` and ``s2``
+    are the set's signature: a bit for each word, in one of two halves.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        from itertools import combinations
+        from math import comb
+
         import numpy as np
         import pyarrow as pa
 
         counts = np.frombuffer(counters.value, dtype=np.int64)
         mask = np.int64((1 << bits) - 1)
+        picks: dict[int, np.ndarray] = {}
         for batch in batches:
             sid = batch.column(0).to_numpy()
             lists = batch.column(1)
@@ -68,27 +77,35 @@ def _prefixes(counters, bits: int, num: int, den: int, cold: int):
             order = np.lexsort((toks, est, row))
             toks, est = toks[order], est[order]
             first = np.cumsum(size) - size
+            bit, half = np.left_shift(np.int64(1), toks & np.int64(63)), (toks >> np.int64(40)) & np.int64(1)
+            s1, s2 = (np.bitwise_or.reduceat(np.where(half == x, bit, 0), first) for x in (0, 1))
             pos = np.arange(len(toks)) - first[row]
-            need = -(-num * size // den)
+            long_need = -(-num * size // den)  # shared words at least, as the longer set of a pair
+            short_need = -(-2 * num * size // (num + den))  # and as the shorter one
             hot = est > cold
-            take = ~hot & (pos < (size - need + 1)[row])
-            out = [(toks[take], sid[row[take]], size[row[take]], pos[take])]
+            take = ~hot & (est > 1) & (pos < (size - long_need + 1)[row])
+            out = [(toks[take], row[take], size[row[take]], pos[take], pos[take] <= (size - short_need)[row[take]])]
             h = np.bincount(row[hot], minlength=len(sid))
-            keys, sids, sizes, at = [], [], [], []
-            for r in np.flatnonzero((h >= need) & (need >= N)):
-                n, k = int(size[r]), int(h[r] - need[r] + N)
-                lo = int(first[r]) + n - int(h[r])
-                mine = toks[lo : lo + k]
-                i, j = np.triu_indices(k, 1)
-                with np.errstate(over="ignore"):
-                    grams = (mine[i] ^ (mine[i] >> np.int64(29))) * np.int64(-7046029254386353131) + mine[j] * np.int64(3935559000370003845)
-                keys.append(grams)
-                sids.append(np.full(len(i), sid[r]))
-                sizes.append(np.full(len(i), n))
-                at.append(i + n - int(h[r]))
-            if keys:
-                out.append(tuple(np.concatenate(x) for x in (keys, sids, sizes, at)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in out]).astype(t)) for c, t in enumerate((np.int64, np.int64, np.int32, np.int32))], names=["key", "sid", "n", "pos"])
+            k_long, k_short = h - long_need + N, h - short_need + N
+            for k in np.unique(k_long[(k_long >= N) & (long_need >= N)]):
+                rows = np.flatnonzero((k_long == k) & (long_need >= N))
+                if k not in picks:
+                    picks[k] = np.array(list(combinations(range(k), N)), dtype=np.int32).reshape(-1, N)
+                step = max(1, 2_000_000 // comb(int(k), N))
+                for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    lo = (first + size - h)[part]
+                    words = toks[lo[:, None] + np.arange(k)]
+                    grams = np.zeros((len(part), len(picks[k])), dtype=np.int64)
+                    with np.errstate(over="ignore"):
+                        for g in range(N):
+                            grams = (grams ^ (grams >> np.int64(29))) * np.int64(-7046029254386353131) + words[:, picks[k][:, g]]
+                    width = grams.shape[1]
+                    out.append((grams.ravel(), np.repeat(part, width), np.repeat(size[part], width), ((size - h)[part, None] + picks[k][:, 0]).ravel(), (picks[k][:, -1] < k_short[part, None]).ravel()))
+            for begin in range(0, len(out), 50):
+                some = out[begin : begin + 50]
+                key, who, n, at, short = (np.concatenate(x) for x in zip(*some, strict=True))
+                packed = n.astype(np.int64) << np.int64(32) | at.astype(np.int64) << np.int64(1) | short.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), sid[who], packed, s1[who], s2[who])], names=["key", "sid", "at", "s1", "s2"])
 
     return run
 
@@ -104,18 +121,21 @@ def _counters(sets: DataFrame, bits: int) -> bytes:
     return counts.tobytes()
 
 
-def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, sketch_bits: int = 18, cold: int = 500) -> DataFrame:
+def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, sketch_bits: int = 18, cold: int = 100) -> DataFrame:
     """Pairs of ``sets`` (``sid`` bigint, unique; ``toks`` distinct words as bigint) with similarity of at least num/den: ``a``, ``b``, ``shared``, ``n_a``, ``n_b``."""
     spark = sets.sparkSession
     counters = spark.sparkContext.broadcast(_counters(sets, sketch_bits))
-    postings = sets.mapInArrow(_prefixes(counters, sketch_bits, num, den, cold), "key bigint, sid bigint, n int, pos int")
-    one = postings.select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    two = postings.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    longest = lambda x, y: F.col(x) * den >= F.col(y) * num
+    postings = sets.mapInArrow(_prefixes(counters, sketch_bits, num, den, cold), "key bigint, sid bigint, at bigint, s1 bigint, s2 bigint")
+    unpacked = lambda s: [F.col("sid").alias(s), F.shiftright("at", 32).cast("int").alias(f"n_{s}"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias(f"pos_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")]
+    one = postings.where(F.col("at").bitwiseAND(F.lit(1)) == 1).select("key", *unpacked("a"))
+    two = postings.select("key", *unpacked("b"))
+    enough = lambda o: o * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
     # overlap can be at most what is left from the first shared word on
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    enough = lambda o: o * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
-    met = one.join(two, "key").where((F.col("a") < F.col("b")) & longest("n_a", "n_b") & longest("n_b", "n_a") & enough(left))
+    # a bit that only one set has stands for a word that only it has
+    lone = lambda x, y: sum(F.bit_count(F.col(f"{s}_{x}").bitwiseAND(F.bitwise_not(f"{s}_{y}"))) for s in ("s1", "s2"))
+    alike = F.least(F.col("n_a") - lone("a", "b"), F.col("n_b") - lone("b", "a"))
+    met = one.join(two, "key").where(((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (F.col("n_a") * den >= F.col("n_b") * num) & enough(left) & enough(alike))
     pairs = met.select("a", "b").distinct()
     mine = lambda s: sets.select(F.col("sid").alias(s), F.col("toks").alias(f"toks_{s}"))
     both = pairs.join(mine("a"), "a").join(mine("b"), "b")
