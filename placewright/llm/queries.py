@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from placewright.llm import near_dup, reading, tokens
+from placewright.llm import addresses, near_dup, reading, tokens
 from placewright.sources.tables import table
 
 
+def p1_found(spark, d):
+    return addresses.matches(table(spark, d, "silver_places"))
+
+
 def listings(spark, d):
     return near_dup.columns_as_words(table(spark, d, "silver_places"), "id", F.col("name"), F.col("description"), near_dup.bare_site(F.col("website")))
 
@@ -23,5 +27,5 @@ def p9_found(spark, d):
     return reading.reading_levels(docs, table(spark, d, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
