@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placewright.llm import addresses, near_dup, reading, tokens
+from placewright.llm import addresses, leaks, near_dup, reading, tokens
 from placewright.sources.tables import table
 
 
@@ -22,10 +22,19 @@ def p7_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
+def p8_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
+def p8_paraphrases(spark, d):
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", cosine=0.8, least=6)
+    return found.select("doc_id", "item_id", "lcs")
+
+
 def p9_found(spark, d):
     docs = table(spark, d, "documents").where(~F.coalesce(F.col("lang"), F.lit("")).isin("de", "es"))
     return reading.reading_levels(docs, table(spark, d, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found}
 SQL: dict[str, str] = {}
