@@ -44,7 +44,7 @@ def bare_site(c: Column) -> Column:
 def word_set(*texts: Column) -> Column:
     """Hashes of the distinct words (runs of letters and digits, folded) of all texts, in order of hash."""
     words = F.regexp_extract_all(fold(F.concat_ws(" ", *texts)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _prefixes(counters, bits: int, num: int, den: int, cold: int):
@@ -121,26 +121,33 @@ def _counters(sets: DataFrame, bits: int) -> bytes:
     return counts.tobytes()
 
 
-def similar_sets(sets: DataFrame, num: int = 3, den: int = 5, sketch_bits: int = 18, cold: int = 100) -> DataFrame:
-    """Pairs of ``sets`` (``sid`` bigint, unique; ``toks`` distinct words as bigint) with similarity of at least num/den: ``a``, ``b``, ``shared``, ``n_a``, ``n_b``."""
+def similar_sets(sets: DataFrame, rows: DataFrame | None = None, num: int = 3, den: int = 5, sketch_bits: int = 18, cold: int = 500) -> DataFrame:
+    """Pairs of ``sets`` (``sid`` bigint, unique; ``toks`` distinct words as bigint) with similarity of at least num/den: ``a``, ``b``, ``shared``, ``n_a``, ``n_b``.
+
+    ``rows`` may give the same sets before copies were collapsed; counting them needs no shuffle of
+    sets, and only makes the estimates larger.
+    """
     spark = sets.sparkSession
-    counters = spark.sparkContext.broadcast(_counters(sets, sketch_bits))
+    counters = spark.sparkContext.broadcast(_counters(sets if rows is None else rows, sketch_bits))
     postings = sets.mapInArrow(_prefixes(counters, sketch_bits, num, den, cold), "key bigint, sid bigint, at bigint, s1 bigint, s2 bigint")
-    unpacked = lambda s: [F.col("sid").alias(s), F.shiftright("at", 32).cast("int").alias(f"n_{s}"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias(f"pos_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")]
-    one = postings.where(F.col("at").bitwiseAND(F.lit(1)) == 1).select("key", *unpacked("a"))
-    two = postings.select("key", *unpacked("b"))
-    enough = lambda o: o * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+    side = lambda s: [F.col("sid").alias(s), F.col("at").alias(f"at_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")]
+    one = postings.where(F.col("at").bitwiseAND(F.lit(1)) == 1).select("key", *side("a"))
+    two = postings.select("key", *side("b"))
+    # lengths and positions are unpacked after the shuffle
+    n_a, n_b = (F.shiftright(f"at_{x}", 32) for x in "ab")
+    pos_a, pos_b = (F.shiftright(F.col(f"at_{x}").bitwiseAND(F.lit(0xFFFFFFFF)), 1) for x in "ab")
+    enough = lambda o, n_a, n_b: o * (num + den) >= (n_a + n_b) * num
     # overlap can be at most what is left from the first shared word on
-    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    left = F.least(n_a - pos_a, n_b - pos_b)
     # a bit that only one set has stands for a word that only it has
     lone = lambda x, y: sum(F.bit_count(F.col(f"{s}_{x}").bitwiseAND(F.bitwise_not(f"{s}_{y}"))) for s in ("s1", "s2"))
-    alike = F.least(F.col("n_a") - lone("a", "b"), F.col("n_b") - lone("b", "a"))
-    met = one.join(two, "key").where(((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (F.col("n_a") * den >= F.col("n_b") * num) & enough(left) & enough(alike))
+    alike = F.least(n_a - lone("a", "b"), n_b - lone("b", "a"))
+    met = one.join(two, "key").where(((n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))) & (n_a * den >= n_b * num) & enough(left, n_a, n_b) & enough(alike, n_a, n_b))
     pairs = met.select("a", "b").distinct()
     mine = lambda s: sets.select(F.col("sid").alias(s), F.col("toks").alias(f"toks_{s}"))
     both = pairs.join(mine("a"), "a").join(mine("b"), "b")
     checked = both.select("a", "b", F.size("toks_a").alias("n_a"), F.size("toks_b").alias("n_b"), F.size(F.array_intersect("toks_a", "toks_b")).alias("shared"))
-    return checked.where(enough(F.col("shared"))).select("a", "b", "shared", "n_a", "n_b")
+    return checked.where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b", "shared", "n_a", "n_b")
 
 
 def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +159,7 @@ def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicate_pairs(records: DataFrame, **how) -> DataFrame:
     """``id_a``, ``id_b`` (smaller first) of ``records`` (``id``, ``toks``)."""
     members, sets = collapse(records)
-    alike = similar_sets(sets, **how)
+    alike = similar_sets(sets, records, **how)
     side = lambda s: members.select(F.col("id").alias(f"id_{s}"), F.col("sid").alias(s))
     apart = alike.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b")
     same = side("a").join(members.select(F.col("id").alias("id_b"), F.col("sid").alias("a")), "a").where("id_a < id_b").select("id_a", "id_b")
