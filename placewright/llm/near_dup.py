@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from placewright.functions.text import fold
 
-N = 2
+#: Words in a hot prefix n-gram. Longer ones make lists shorter but more numerous: measured on 200,000 listings,
+#: 1 gives 3.4 million postings and 318 million met pairs, 2 gives 6.6 and 262, 3 gives 16 and 340.
+N = 1
 
 
 def bare_site(c: Column) -> Column:
