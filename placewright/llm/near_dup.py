@@ -170,5 +170,8 @@ def near_duplicate_pairs(records: DataFrame, **how) -> DataFrame:
 
 
 def columns_as_words(df: DataFrame, key: str, *texts: Column) -> DataFrame:
-    """``id``, ``toks`` of a table."""
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), word_set(*texts).alias("toks"))
+    """``id``, ``toks`` of a table.
+
+    The generator keeps later filters and hashes of ``toks`` from computing the words anew.
+    """
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(F.array(word_set(*texts))).alias("toks"))
