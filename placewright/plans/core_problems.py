@@ -59,7 +59,7 @@ def p3_city_join(spark, d):
     places, clusters = table(spark, d, "silver_places"), table(spark, d, "gold_clusters")
     key = city_key(F.col("city"))
     j = eager.eager_join_aggregate(places, clusters, key, key, {"lat": F.when(F.col("lat").between(-90, 90), F.col("lat"))}, {"score": F.col("total_score"), "pois": F.col("poi_count").cast("bigint")})
-    return j.select(F.col("k").alias("city"), "join_rows", "left_rows", "right_rows", F.round("avg_lat", 4).alias("avg_lat"), F.round("sum_score", 3).alias("sum_score"), "sum_pois", "max_score")
+    return j.select(F.col("k").alias("city"), "join_rows", "left_rows", "right_rows", F.round(F.col("avg_lat") + 1e-9, 4).alias("avg_lat"), F.round("sum_score", 3).alias("sum_score"), "sum_pois", "max_score")
 
 
 P3_CITY = r"nullif(lower(regexp_replace(city, '^[\s\p{Z}\x1c-\x1f]+|[\s\p{Z}\x1c-\x1f]+$', '', 'g')), '')"
@@ -77,7 +77,7 @@ with p as (select {P3_CITY} k, case when lat between -90 and 90 then lat end lat
      g as (select {P3_CITY} k, total_score s, poi_count c from gold_clusters),
      a as (select k, count(*) n from p group by k), b as (select k, count(*) n from g group by k)
 select p.k as city, count(*) as join_rows, any_value(a.n) as left_rows, any_value(b.n) as right_rows,
-       round(avg(p.lat), 4) as avg_lat, round(sum(g.s), 3) as sum_score, cast(sum(g.c) as bigint) as sum_pois, max(g.s) as max_score
+       round(avg(p.lat) + 1e-9, 4) as avg_lat, round(sum(g.s), 3) as sum_score, cast(sum(g.c) as bigint) as sum_pois, max(g.s) as max_score
 from p join g on p.k = g.k join a on a.k = p.k join b on b.k = p.k group by p.k
 """
 

@@ -24,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there; it survives a lost executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the shared checkpoint folder, for tables that a query writes and reads again."""
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
