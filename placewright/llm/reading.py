@@ -51,12 +51,15 @@ def _words(pattern: str) -> str:
 
 def measures(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """``key``, ``tongue`` (fr, en), ``n_words`` and the counts behind the formulas."""
-    t = cleaned(F.col(text))
+    # a generator after each step keeps the steps from being computed again for every use
+    step = lambda frame, c: frame.withColumn("t", F.explode(F.array(c)))
+    df = step(df.select(F.col(key), F.lower(F.trim(lang)).alias("l"), F.col(text).alias("raw")), cleaned(F.col("raw")))
+    t = F.col("t")
     listed = t.rlike(r"(?m)^[ \t]*[-*\x{2022}] ")
     t = F.when(listed, F.regexp_replace(t, r"\s*[\r\n]+\s*(?:[-*\x{2022}] +|(?=\p{Lu}))", " . ")).otherwise(F.regexp_replace(t, r"(?:\r?\n[ \t]*){2,}", " . "))
     t = F.regexp_replace(t, r"(?<=\p{N})[.,:](?=\p{N})", "")
     t = F.regexp_replace(t, r"\b(M|Mme|Mr|Mrs|Dr|St|No)\.", "$1")
-    df = df.select(F.col(key), F.lower(F.trim(lang)).alias("l"), fold(t).alias("t"))
+    df = df.select(key, "l", F.explode(F.array(fold(t))).alias("t"))
     count = lambda p: F.regexp_count("t", F.lit(p))
     tongue = F.when(F.col("l").rlike("^fr"), "fr").when(F.col("l").rlike("^en"), "en").when(count(_words(FRENCH)) >= count(_words(ENGLISH)), "fr").otherwise("en")
     silent_fr, silent_en = r"[aeiouy][a-z]*[b-df-hj-np-tv-xz](?:es?|ent)\b", r"[aeiouy][a-z]*(?:[b-df-hj-kmnp-tv-xz]es?|[b-cf-hj-np-su-xz]ed)\b"
