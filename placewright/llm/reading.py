@@ -63,19 +63,20 @@ def measures(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     count = lambda p: F.regexp_count("t", F.lit(p))
     tongue = F.when(F.col("l").rlike("^fr"), "fr").when(F.col("l").rlike("^en"), "en").when(count(_words(FRENCH)) >= count(_words(ENGLISH)), "fr").otherwise("en")
     silent_fr, silent_en = r"[aeiouy][a-z]*[b-df-hj-np-tv-xz](?:es?|ent)\b", r"[aeiouy][a-z]*(?:[b-df-hj-kmnp-tv-xz]es?|[b-cf-hj-np-su-xz]ed)\b"
-    one = df.select(
-        key, tongue.alias("tongue"), "t",
+    counts = F.struct(
+        tongue.alias("tongue"),
         count(r"[\p{L}\p{N}]+").alias("n_words"),
         F.greatest(F.lit(1), F.regexp_count(F.concat("t", F.lit(".")), F.lit(r"[\p{L}\p{N}][^.!?\x{2026}]*+[.!?\x{2026}]"))).alias("n_sentences"),
         count(r"[a-z]{1,24}+(?![a-z])").alias("n_alpha"),
-        count(r"[a-z]").alias("n_letters"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[a-z]+", ""))).alias("n_letters"),
         count(r"[aeiouy]+").alias("n_groups"),
         count(r"\b[b-df-hj-np-tv-xz]+\b").alias("n_bare"),
         count(r"\b[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2}[aeiouy]+[a-z]*").alias("n_complex"),
         count(r"[a-z]{7,}").alias("n_long"),
+        F.when(tongue == "fr", count(silent_fr)).otherwise(count(silent_en)).alias("n_silent"),
     )
-    silent = F.when(F.col("tongue") == "fr", F.regexp_count("t", F.lit(silent_fr))).otherwise(F.regexp_count("t", F.lit(silent_en)))
-    return one.withColumn("n_syllables", F.col("n_groups") - silent + F.col("n_bare")).drop("t")
+    one = df.select(key, F.explode(F.array(counts)).alias("x")).select(key, "x.*")
+    return one.withColumn("n_syllables", F.col("n_groups") - F.col("n_silent") + F.col("n_bare"))
 
 
 def grade() -> Column:
