@@ -105,6 +105,13 @@ def p6_found(spark, d):
     return slabs.near_pairs(table(spark, d, "silver_places"), "id", "lat", "lon", 30.0)
 
 
+P6_FOUND_SQL = """
+with p as (select distinct id, lat, lon from silver_places where id is not null and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0))
+select distinct a.id as id_a, b.id as id_b from p a join p b on a.id < b.id and abs(a.lat - b.lat) < 0.0003e0
+where 2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30
+"""
+
 #: Three invented rings (latitude, longitude), one concave, two overlapping.
 RINGS = {
     "north": ((45.2, 0.5), (47.5, 1.0), (47.0, 4.0), (46.1, 2.4), (45.4, 4.5)),
@@ -133,4 +140,4 @@ select region_id, count(*) as places, count(distinct id) as ids from hit group b
 """
 
 QUERIES = {"p2_found": p2_found, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_regions": p6_regions}
-SQL = {"p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}
+SQL = {"p6_found": P6_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}
