@@ -37,4 +37,15 @@ def p9_found(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+P4_FOUND_SQL = r"""
+with s as (select distinct id, name, description,
+                  regexp_replace(regexp_replace(regexp_replace(lower(website), '^\s*[a-z][a-z0-9+.\-]*://', ''), '^\s*www\.', ''), '[?#].*$', '', 's') site
+           from silver_places where id is not null),
+     w as (select distinct id, set_no, unnest(words) word, len(words) n
+           from (select id, row_number() over () set_no, list_distinct(regexp_extract_all(strip_accents(lower(concat_ws(' ', name, description, site))), '[\p{L}\p{N}]+')) words from s)),
+     j as (select a.id id_a, b.id id_b, a.set_no, b.set_no other, count(*) shared, any_value(a.n) n_a, any_value(b.n) n_b
+           from w a join w b on a.word = b.word and a.id < b.id group by a.id, b.id, a.set_no, b.set_no)
+select distinct id_a, id_b from j where 5 * shared >= 3 * (n_a + n_b - shared)
+"""
+
+SQL = {"p4_found": P4_FOUND_SQL}
