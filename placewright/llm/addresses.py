@@ -214,7 +214,7 @@ def respelled(spellings: DataFrame, group: list[str], window: int = 8, edge: int
         around = seen.select(*group, "w", "n", F.explode(F.array_distinct(F.array_compact(F.concat("before", "after", F.array("left", "right"))))).alias("o"))
         better = (F.col("o.n") > F.col("n")) | ((F.col("o.n") == F.col("n")) & (F.col("o.w") < F.col("w")))
         passes.append(around.where(better & ((F.col("n") < 5) | (F.col("o.n") >= 5 * F.col("n"))) & _close(F.col("w"), F.col("o.w"), edits)).select(*group, "w", "o"))
-    found = passes[0].unionByName(passes[1]).groupBy(*group, "w").agg(F.max("o").alias("o")).select(*group, "w", F.col("o.w").alias("right"))
+    found = cut(passes[0].unionByName(passes[1]).groupBy(*group, "w").agg(F.max("o").alias("o")).select(*group, "w", F.col("o.w").alias("right")))
     # the spelling it stands for may itself give way
     again = found.select(*group, F.col("w").alias("right"), F.col("right").alias("further"))
     return found.join(again, [*group, "right"], "left").select(*group, "w", F.coalesce("further", "right").alias("right"))
