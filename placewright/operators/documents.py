@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 from placewright.functions import jsonpath as J
 from placewright.functions.scalars import try_clock, try_iso_date, try_number
 
-#: Where each field may stand, best first.
+# Where each field may stand, best first. A name on a list takes its first element.
 TEXT_PATHS = {
+    "source_identifier": ["dc:identifier"],
     "name": ["rdfs:label"],
-    "description": ["hasDescription.dc:description", "rdfs:comment"],
+    "description": ["hasDescription.dc:description", "hasDescription.shortDescription", "hasDescription.rdfs:comment", "rdfs:comment"],
     "address": ["isLocatedAt.schema:address.schema:streetAddress"],
     "postal_code": ["isLocatedAt.schema:address.schema:postalCode"],
     "city": ["isLocatedAt.schema:address.hasAddressCity.rdfs:label", "isLocatedAt.schema:address.schema:addressLocality"],
     "region": ["isLocatedAt.schema:address.hasAddressCity.isPartOfDepartment.isPartOfRegion.rdfs:label"],
-    "website": ["hasContact.foaf:homepage"],
-    "contact_phone": ["hasContact.schema:telephone"],
-    "contact_email": ["hasContact.schema:email"],
+    "country": ["isLocatedAt.schema:address.schema:addressCountry", "isLocatedAt.schema:address.hasAddressCity.isPartOfDepartment.isPartOfRegion.isPartOfCountry.rdfs:label"],
+    "contact_email": ["hasContact.schema:email", "hasBeenPublishedBy.schema:email", "hasBeenCreatedBy.schema:email"],
+    "contact_phone": ["hasContact.schema:telephone", "hasBeenPublishedBy.schema:telephone", "hasBeenCreatedBy.schema:telephone"],
+    "website": ["hasContact.foaf:homepage", "hasBeenPublishedBy.foaf:homepage", "hasBeenCreatedBy.foaf:homepage"],
 }
 NUMBER_PATHS = {"lat": ["isLocatedAt.schema:geo.schema:latitude"], "lon": ["isLocatedAt.schema:geo.schema:longitude"]}
 

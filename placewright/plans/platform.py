@@ -361,9 +361,10 @@ def map_points(spark, d):
 
 # --- scores, cells, graph ----------------------------------------------------------------------
 
+# Weights of category terms, and terms of places in the open.
 WEIGHTS = {"museum": 3, "park": 2, "restaurant": 1, "heritage": 2, "cultural": 2}
 SCORE = "1 + " + " + ".join(f"case when contains(lower(t), '{k}') then {w} else 0 end" for k, w in WEIGHTS.items())
-OUTDOOR = "beach|garden|park|trail|viewpoint|camp|natural"
+OUTDOOR = "beach|garden|hiking|lake|natural|nature|outdoor|park|trail|viewpoint|walk"
 
 
 def _texts(spark, d):
