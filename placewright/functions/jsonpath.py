@@ -44,18 +44,22 @@ def at(v: Column, path: str) -> Column:
     return _bound(v, lambda x: F.when(~F.is_variant_null(x), x))
 
 
-def text_of(v: Column, languages: tuple[str, ...] = LANGUAGES, depth: int = 3) -> Column:
+def text_of(v: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """The preferred text: a text is itself, a list its first element's text, an object that of its first known language; numbers have none."""
 
-    def read(x):
+    def plain(x):
         k = kind(x)
-        plain = F.when(k == "STRING", F.try_variant_get(x, "$", "string"))
-        if not depth:
-            return plain
-        below = lambda p: text_of(F.try_variant_get(x, p, "variant"), languages, depth - 1)
-        return F.when(k == "STRING", F.try_variant_get(x, "$", "string")).when(k == "ARRAY", below("$[0]")).when(k == "OBJECT", F.coalesce(*(F.nullif(below(f"$.{lang}"), F.lit("")) for lang in languages)))
+        return F.when(k == "STRING", F.try_variant_get(x, "$", "string"))
+
+    def flat(x):
+        return F.coalesce(plain(x), plain(F.try_variant_get(x, "$[0]", "variant")))
+
+    def read(x):
+        spoken = F.coalesce(*(F.nullif(_bound(F.try_variant_get(x, f"$.{lang}", "variant"), flat), F.lit("")) for lang in languages))
+        return F.when(kind(x) == "OBJECT", spoken).otherwise(flat(x))
 
-    return _bound(v, read)
+    # a list stands for its first element
+    return _bound(F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v), read)
 
 
 def first_text(v: Column, paths: list[str], languages: tuple[str, ...] = LANGUAGES) -> Column:
