@@ -220,8 +220,11 @@ def respelled(spellings: DataFrame, group: list[str], window: int = 8, edge: int
     return found.join(again, [*group, "right"], "left").select(*group, "w", F.coalesce("further", "right").alias("right"))
 
 
-def matches(df: DataFrame, key: str = "id", address: str = "address", postal: str = "postal_code", city: str = "city") -> DataFrame:
-    """``id_a``, ``id_b`` (smaller first): distinct keys at one and the same address."""
+def resolved(df: DataFrame, key: str = "id", address: str = "address", postal: str = "postal_code", city: str = "city") -> DataFrame:
+    """``id``, ``place``, ``number``, ``suffix``, ``name``, ``kind``, ``title`` of every usable address, in settled spellings.
+
+    An address whose city and postal code point to different places comes out for both.
+    """
     rows = cut(parsed(df, key, address, postal, city).distinct())
     # cities: spellings of the whole table, then the city that most records of a postal code name
     towns = rows.where("town is not null").groupBy(F.col("town").alias("w")).agg(F.count(F.lit(1)).alias("n"))
@@ -243,8 +246,13 @@ def matches(df: DataFrame, key: str = "id", address: str = "address", postal: st
     # a missing kind is the one that most records of the same number have, then of the same street
     kinds = told.where("kind <> ''").groupBy(*there, "kind").agg(F.count(F.lit(1)).alias("n")).withColumn("street", F.sum("n").over(Window.partitionBy("place", "name", "kind")))
     usual = kinds.groupBy(*there).agg(F.max_by("kind", F.struct("n", "street", "kind")).alias("usual"))
-    final = told.join(usual, there, "left").select("id", *there, F.when(F.col("kind") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("kind")).alias("kind"), "title").distinct()
-    same = [*there, "kind"]
+    return told.join(usual, there, "left").select("id", *there, F.when(F.col("kind") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("kind")).alias("kind"), "title").distinct()
+
+
+def matches(df: DataFrame, key: str = "id", address: str = "address", postal: str = "postal_code", city: str = "city") -> DataFrame:
+    """``id_a``, ``id_b`` (smaller first): distinct keys at one and the same address."""
+    final = resolved(df, key, address, postal, city)
+    same = ["place", "number", "suffix", "name", "kind"]
     one, two = (final.select(F.col("id").alias(f"id_{x}"), *same, F.col("title").alias(f"title_{x}")) for x in "ab")
     agree = lambda c: (F.col(f"{c}_a") == F.col(f"{c}_b")) | (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "")
     return one.join(two, same).where((F.col("id_a") < F.col("id_b")) & agree("title")).select("id_a", "id_b").distinct()

@@ -169,6 +169,18 @@ def near_duplicate_pairs(records: DataFrame, **how) -> DataFrame:
     return ordered.unionByName(same).distinct()
 
 
+def near_duplicate_links(records: DataFrame, **how) -> DataFrame:
+    """``id``, ``class_id``, ``copies``, ``links``: of each id and set of words, the set's id, how many ids have it, and how many other sets are similar.
+
+    Its size follows the input whatever the groups of copies; nothing is expanded into pairs of ids.
+    """
+    members, sets = collapse(records)
+    alike = similar_sets(sets, records, **how)
+    ends = alike.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    copies = members.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"))
+    return members.join(copies, "sid").join(ends, "sid", "left").select("id", F.col("sid").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def columns_as_words(df: DataFrame, key: str, *texts: Column) -> DataFrame:
     """``id``, ``toks`` of a table.
 

@@ -10,6 +10,11 @@ def p1_found(spark, d):
     return addresses.matches(table(spark, d, "silver_places"))
 
 
+def p1_addresses(spark, d):
+    """The linear form: one row per id and settled address, instead of pairs."""
+    return addresses.resolved(table(spark, d, "silver_places"))
+
+
 def listings(spark, d):
     return near_dup.columns_as_words(table(spark, d, "silver_places"), "id", F.col("name"), F.col("description"), near_dup.bare_site(F.col("website")))
 
@@ -18,6 +23,11 @@ def p4_found(spark, d):
     return near_dup.near_duplicate_pairs(listings(spark, d))
 
 
+def p4_links(spark, d):
+    """The linear form: one row per listing with its class and number of links, instead of pairs."""
+    return near_dup.near_duplicate_links(listings(spark, d))
+
+
 def p7_ids(spark, d):
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
 
@@ -36,7 +46,7 @@ def p9_found(spark, d):
     return reading.reading_levels(docs, table(spark, d, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_addresses": p1_addresses, "p4_found": p4_found, "p4_links": p4_links, "p7_ids": p7_ids, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found}
 P4_FOUND_SQL = r"""
 with s as (select distinct id, name, description,
                   regexp_replace(regexp_replace(regexp_replace(lower(website), '^\s*[a-z][a-z0-9+.\-]*://', ''), '^\s*www\.', ''), '[?#].*$', '', 's') site

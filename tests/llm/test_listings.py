@@ -79,3 +79,17 @@ def test_near_duplicates_hot_words(spark, cold, seed):
 def test_near_duplicates_empty(spark):
     empty = spark.createDataFrame([], "id string, toks array<bigint>")
     assert near_dup.near_duplicate_pairs(empty).count() == 0
+
+
+def test_links_in_linear_form(spark):
+    rows = [(f"c{k}", "a b c d e", None, None) for k in range(5)] + [("n1", "a b c d", None, None), ("n2", "a b c d e f", None, None), ("x", "y z", None, None)]
+    df = spark.createDataFrame(rows, "id string, name string, description string, website string")
+    got = {r.id: (r.copies, r.links) for r in near_dup.near_duplicate_links(near_dup.columns_as_words(df, "id", F.col("name"))).collect()}
+    assert got == {**{f"c{k}": (5, 2) for k in range(5)}, "n1": (1, 2), "n2": (1, 2), "x": (1, 0)}
+    assert len({r.class_id for r in near_dup.near_duplicate_links(near_dup.columns_as_words(df, "id", F.col("name"))).collect()}) == 4
+
+
+def test_resolved_addresses(spark):
+    df = spark.createDataFrame([("a", "3, r. du Gal Vouglaibor", "01234", "Trelmouville"), ("b", "3 Rue du Général Vouglaibor", None, "TRELMOUVILLE")], PLACE)
+    got = addresses.resolved(df).collect()
+    assert {(r.place, r.number, r.suffix, r.name, r.kind, r.title) for r in got} == {("trelmouville", 3, "", "vouglaibor", "rue", "general")} and len(got) == 2
