@@ -5,12 +5,12 @@ title, core name, and place. Components are compared by multi-pass sorted
 neighbourhoods: the distinct spellings of a component (with their number of
 records) are sorted by their letters forwards in one pass and backwards in the
 other, and each spelling is compared, inside a window, with its neighbours and
-with the nearest frequent spelling on either side. Comparison is by edit
+with the nearest spellings of each order of frequency on either side. Comparison is by edit
 distance, with a swap of two letters counting as one edit; a spelling stands for
 the neighbour it most likely misspells. One edit leaves either the beginning or
 the end of a name whole, so one of the two orders brings the two spellings
 together. Cities are settled first (also from the postal code, by the city that
-most records with this code name), then street names inside each place, then those at each number of a place, where
+most records with this code name), then street names in the whole table (where one spelling is far more common), inside each place, and at each number of a place, where
 two edits are borne. Records match when place, street name, kind, number and suffix are equal and the titles
 don't contradict one another.
 
@@ -191,11 +191,17 @@ def _close(a: Column, b: Column, edits: int) -> Column:
     return (d <= edits) | ((d == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-def respelled(spellings: DataFrame, group: list[str], window: int = 8, edge: int = 2, least: int = 6, frequent: int = 3, edits: int = 1) -> DataFrame:
+#: Orders of frequency that are told apart, from ``frequent`` up.
+LEVELS = 9
+
+
+def respelled(spellings: DataFrame, group: list[str], window: int = 8, edge: int = 2, least: int = 6, frequent: int = 3, edits: int = 1, ratio: int = 5, few: int = 5) -> DataFrame:
     """Of ``group`` columns, ``w`` (spelling) and ``n`` (records): group, ``w``, ``right`` for spellings that stand for another one.
 
-    A spelling gives way to a near one with more records (on a tie to the smaller); two frequent
-    spellings are both right unless one has at least five times the other's records.
+    Each spelling is compared with ``window`` neighbours on either side and with the nearest one of each
+    order of frequency (``frequent``, ten times that, and so on): misspellings of a common name are
+    themselves common, and must not hide it from one another. A spelling gives way to a near one with more records (on a tie to the smaller); a
+    spelling with at least ``few`` records only to one with ``ratio`` times as many.
     """
     passes = []
     for turned in (False, True):
@@ -203,17 +209,17 @@ def respelled(spellings: DataFrame, group: list[str], window: int = 8, edge: int
         base = spellings.where(F.length("w") >= least).select(*group, "w", "n", v.alias("v"), F.substring(v, 1, edge).alias("edge"))
         ahead, back = Window.partitionBy(*group, "edge").orderBy("v"), Window.partitionBy(*group, "edge").orderBy(F.desc("v"))
         one = F.struct(F.col("n").alias("n"), F.col("w").alias("w"))
-        often = F.when(F.col("n") >= frequent, one)
+        often = [F.when(F.col("n") >= frequent * 10**k, one) for k in range(LEVELS)]
         seen = base.select(
             *group, "w", "n",
             F.collect_list(one).over(ahead.rowsBetween(-window, -1)).alias("before"),
-            F.last(often, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
+            F.array(*(F.last(x, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)) for x in often)).alias("left"),
             F.collect_list(one).over(back.rowsBetween(-window, -1)).alias("after"),
-            F.last(often, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("right"),
+            F.array(*(F.last(x, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)) for x in often)).alias("right"),
         )
-        around = seen.select(*group, "w", "n", F.explode(F.array_distinct(F.array_compact(F.concat("before", "after", F.array("left", "right"))))).alias("o"))
+        around = seen.select(*group, "w", "n", F.explode(F.array_distinct(F.array_compact(F.concat("before", "after", "left", "right")))).alias("o"))
         better = (F.col("o.n") > F.col("n")) | ((F.col("o.n") == F.col("n")) & (F.col("o.w") < F.col("w")))
-        passes.append(around.where(better & ((F.col("n") < 5) | (F.col("o.n") >= 5 * F.col("n"))) & _close(F.col("w"), F.col("o.w"), edits)).select(*group, "w", "o"))
+        passes.append(around.where((F.abs(F.length("w") - F.length("o.w")) <= edits) & better & ((F.col("n") < few) | (F.col("o.n") >= ratio * F.col("n"))) & _close(F.col("w"), F.col("o.w"), edits)).select(*group, "w", "o"))
     found = cut(passes[0].unionByName(passes[1]).groupBy(*group, "w").agg(F.max("o").alias("o")).select(*group, "w", F.col("o.w").alias("right")))
     # the spelling it stands for may itself give way
     again = found.select(*group, F.col("w").alias("right"), F.col("right").alias("further"))
@@ -225,7 +231,11 @@ def resolved(df: DataFrame, key: str = "id", address: str = "address", postal: s
 
     An address whose city and postal code point to different places comes out for both.
     """
-    rows = cut(parsed(df, key, address, postal, city).distinct())
+    raw = cut(parsed(df, key, address, postal, city).distinct())
+    # street names: rare spellings that stand for one that is common anywhere
+    names = raw.groupBy(F.col("name").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    common = respelled(names, [], ratio=50, few=0).select(F.col("w").alias("name"), F.col("right").alias("name_right"))
+    rows = cut(raw.join(common, "name", "left").withColumn("name", F.coalesce("name_right", "name")).drop("name_right"))
     # cities: spellings of the whole table, then the city that most records of a postal code name
     towns = rows.where("town is not null").groupBy(F.col("town").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     fixed = respelled(towns, []).select(F.col("w").alias("town"), F.col("right").alias("town_right"))
