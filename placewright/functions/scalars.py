@@ -39,7 +39,8 @@ def try_clock(c: Column) -> Column:
 
 def event_instant(c: Column) -> Column:
     """An ISO instant with ``Z``, an offset or none (then UTC); else null."""
-    return F.try_to_timestamp(strip(c))
+    s = strip(c)
+    return F.try_to_timestamp(F.when(s.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), s).otherwise(F.concat(s, F.lit("Z"))))
 
 
 def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:

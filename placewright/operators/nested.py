@@ -15,7 +15,8 @@ give no triples; list members that are no objects give no triples at a table's
 ancestor but keep their position; an object gives a marker (leaf ``""``) even
 when empty; a text that is itself JSON stands for what it spells, at any depth;
 of a name written twice in one object the last counts; nesting too deep for the
-parser counts as unreadable.
+parser counts as unreadable; of the input only the keys and the payload are read, and
+a key named as a column of the result is refused.
 """
 
 import json
@@ -123,6 +124,9 @@ def triples(df: DataFrame, keys: dict[str, Column], payload: Column, ancestors:
 
     Without leaves only the markers of objects come out.
     """
+    taken = {"ancestor", "pos", "leaf", "value", "__payload", "__t", "__x"} & set(keys)
+    if taken:
+        raise ValueError(f"key names that the result has itself: {sorted(taken)}")
     root = _compile(ancestors)
 
     def parse(batches: Iterator) -> Iterator:

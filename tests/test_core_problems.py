@@ -72,6 +72,8 @@ def test_nested_tables(spark):
     doc = {"offers": [{"schema:priceSpecification": [{"schema:minPrice": 3, "schema:priceCurrency": {"fr": ["EUR"]}}, {}]}]}
     df = spark.createDataFrame([("a", json.dumps(doc)), ("b", "nope"), ("c", None)], "pos string, value string")
     found = nested.triples(df.withColumnRenamed("pos", "rec"), {"rec": F.col("rec")}, F.col("value"), [core.PRICE])
+    with pytest.raises(ValueError, match="pos"):
+        nested.triples(df, {"pos": F.col("pos")}, F.col("value"), [core.PRICE])
     flat = nested.pivot_group(found, ["rec"], core.PRICE, {"low": "schema:minPrice", "cur": "schema:priceCurrency/fr"}).orderBy("pos").collect()
     assert [(r.rec, r.pos, r.parent_pos, r.low, r.cur) for r in flat] == [("a", [0, 0], [0], "3", '["EUR"]'), ("a", [0, 1], [0], None, None)]
 
