@@ -9,7 +9,9 @@ filtering in rare-first order:
   whatever the corpus holds. An estimate never falls below the true frequency,
   and any common order keeps the join exact.
 * Of a set of length n only the first n - ceil(t n) + 1 words can hold the first
-  shared word of a similar pair. Where that word is *cold* (estimate at most
+  shared word of a similar pair; if it is the pair's shorter set, only the first
+  n - ceil(2t/(1+t) n) + 1. Sets are joined as shorter with longer, so the shorter
+  prefix meets the longer one, once per pair and word. Where that word is *cold* (estimate at most
   ``cold``), sets are joined on it: lists are at most ``cold`` long, so the work
   grows in proportion to the input.
 * Where the first shared word is *hot*, every shared word is, since all others
