@@ -106,3 +106,49 @@ def test_snapshot_changes(spark):
         got = {tuple(r) for r in snapshots.snapshot_changes(df, "n", "id", snapshots.hex_number(F.col("hash")), "at", bits, fan).collect()}
         assert got == {(2, "b", "changed"), (2, "e", "added"), (4, "b", "removed"), (4, "c", "changed"), (4, "d", "removed"), (4, "e", "removed")}
     assert snapshots.snapshot_changes(df.limit(0), "n", "id", F.col("hash"), "at").count() == 0
+
+
+def _direct(text):
+    """The entities of one payload, read straight from the statement of the problem."""
+
+    def spelled(v):
+        if isinstance(v, str):
+            try:
+                inner = json.loads(v)
+            except ValueError:
+                return v
+            return spelled(inner) if isinstance(inner, dict | list | str) else v
+        return v
+
+    def listed(v):
+        v = spelled(v)
+        return [] if v is None else [spelled(m) for m in v] if isinstance(v, list) else [v]
+
+    try:
+        doc = spelled(json.loads(text))
+    except (ValueError, TypeError):
+        return set()
+    out = set()
+    if not isinstance(doc, dict):
+        return out
+    for i, o in enumerate(listed(doc.get("offers"))):
+        for j, p in enumerate(listed(o.get("schema:priceSpecification")) if isinstance(o, dict) else []):
+            if isinstance(p, dict):
+                out.add(("price", f"{i}.{j}"))
+                out |= {("audience", f"{i}.{j}.{k}") for k, a in enumerate(listed(p.get("hasAudience"))) if isinstance(a, dict)}
+    for i, o in enumerate(listed(doc.get("isLocatedAt"))):
+        out |= {("address", f"{i}.{j}") for j, a in enumerate(listed(o.get("schema:address")) if isinstance(o, dict) else []) if isinstance(a, dict)}
+    return out | {("period", str(i)) for i, o in enumerate(listed(doc.get("takesPlaceAt"))) if isinstance(o, dict)}
+
+
+@pytest.mark.parametrize("where", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_nested_equals_direct_reading(spark, where):
+    rows = spark.read.parquet(f"{where}/bronze_raw_poi.parquet").where("snapshot_no = 4 and id is not null").collect()
+    last = {}
+    for r in rows:
+        mark = (r.ingested_at is not None, r.ingested_at, r.content_hash or "", r.raw_payload or "")
+        if r.id not in last or mark > last[r.id][0]:
+            last[r.id] = mark, r.raw_payload
+    want = {(i, *e) for i, (_, t) in last.items() for e in _direct(t)}
+    got = [tuple(r) for r in core.p2_found(spark, where).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
