@@ -8,7 +8,9 @@ ordinals, so parent and child join on equality.
 
 Path language: names joined by ``/``, ``[]`` after a name whose value is a list
 (a lone value counts as a list of one). ``offers[]/schema:priceSpecification[]``
-is the ancestor of every price specification.
+is the ancestor of every price specification. In the name of a leaf, ``~`` and
+``/`` of a document's own names are written ``~0`` and ``~1``, so that no two
+leaves of an object have one path.
 
 Defined results: unreadable text, null, and texts that are no object at the top
 give no triples; list members that are no objects give no triples at a table's
@@ -66,12 +68,13 @@ def _compile(ancestors: list[str]) -> dict:
     return root
 
 
-def _leaves(obj, prefix: str, closed: set[str], out: list) -> None:
+def _leaves(obj, prefix: str | None, closed: set[str], out: list) -> None:
     """Scalar leaves below an object, as far as no repeated table begins; lists of scalars come as JSON."""
     for name, v in obj.items():
-        path = f"{prefix}/{name}" if prefix else name
-        if path in closed:
+        if prefix is None and name in closed:
             continue
+        own = name.replace("~", "~0").replace("/", "~1")
+        path = own if prefix is None else f"{prefix}/{own}"
         v = _spelled(v)
         if isinstance(v, dict):
             _leaves(v, path, closed, out)
@@ -84,7 +87,7 @@ def _walk(obj: dict, node: dict, pos: list[int], with_leaves: bool, out: list) -
         out.append((node["table"], pos, "", None))
         if with_leaves:
             found: list = []
-            _leaves(obj, "", {s[:-2] for s in node["next"] if s.endswith("[]")}, found)
+            _leaves(obj, None, {s[:-2] for s in node["next"] if s.endswith("[]")}, found)
             out.extend((node["table"], pos, leaf, v) for leaf, v in found)
     for step, child in node["next"].items():
         repeated = step.endswith("[]")
@@ -143,13 +146,17 @@ def triples(df: DataFrame, keys: dict[str, Column], payload: Column, ancestors:
     return parsed.select(*keys, F.explode("__t").alias("__x")).select(*keys, "__x.*")
 
 
-def pivot_group(found: DataFrame, keys: list[str], ancestor: str, columns: dict[str, str]) -> DataFrame:
+def pivot_group(found: DataFrame, keys: list[str], ancestor: str, columns: dict[str, str], rest: str | None = None) -> DataFrame:
     """One flat table of a group: the keys, ``pos``, ``parent_pos``, and a column for each leaf path.
 
+    ``rest`` names a map column for the leaves that have no column; it's empty, not null, where there are none.
     The triples of one object are in one task already, so the first of the two aggregations
     halves them before anything is shuffled.
     """
     rows = found.where(F.col("ancestor") == ancestor)
     cells = [F.max(F.when(F.col("leaf") == path, F.col("value"))).alias(name) for name, path in columns.items()]
+    if rest:
+        other = F.when(F.col("value").isNotNull() & ~F.col("leaf").isin(*columns.values()), F.struct("leaf", "value"))
+        cells.append(F.map_from_entries(F.array_sort(F.collect_list(other))).alias(rest))
     flat = rows.groupBy(*keys, "pos").agg(*cells)
     return flat.withColumn("parent_pos", F.slice("pos", F.lit(1), F.size("pos") - 1))

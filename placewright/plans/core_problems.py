@@ -6,11 +6,14 @@ from placewright.functions.text import city_key, latest
 from placewright.operators import eager, nested, slabs, snapshots
 from placewright.sources.tables import table
 
-PRICE = "offers[]/schema:priceSpecification[]"
+OFFER = "offers[]"
+PRICE = f"{OFFER}/schema:priceSpecification[]"
 AUDIENCE = f"{PRICE}/hasAudience[]"
-ADDRESS = "isLocatedAt[]/schema:address[]"
+LOCATION = "isLocatedAt[]"
+ADDRESS = f"{LOCATION}/schema:address[]"
 PERIOD = "takesPlaceAt[]"
 ENTITIES = {PRICE: "price", AUDIENCE: "audience", ADDRESS: "address", PERIOD: "period"}
+TABLES = [OFFER, PRICE, AUDIENCE, LOCATION, ADDRESS, PERIOD]
 LAST_SNAPSHOT = 4
 
 
@@ -27,26 +30,38 @@ def p2_found(spark, d):
 
 
 def _flat(spark, d, ancestor, columns):
-    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), [ancestor])
-    flat = nested.pivot_group(found, ["id"], ancestor, columns)
+    """A table of the last snapshot's objects: leaves named in ``columns``, and all others by path in ``other``."""
+    below = [t for t in TABLES if t.startswith(ancestor)]  # where a table of its own begins, the leaves end
+    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), below)
+    flat = nested.pivot_group(found, ["id"], ancestor, columns, "other")
     path = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
-    return flat.select("id", path("parent_pos").alias("parent_path"), path("pos").alias("pos_path"), *columns)
+    return flat.select("id", path("parent_pos").alias("parent_path"), path("pos").alias("pos_path"), *columns, "other")
+
+
+def p2_offers(spark, d):
+    return _flat(spark, d, OFFER, {"label": "rdfs:label", "label_fr": "rdfs:label/fr"})
 
 
 def p2_prices(spark, d):
-    return _flat(spark, d, PRICE, {"min_price": "schema:minPrice", "max_price": "schema:maxPrice", "currency": "schema:priceCurrency"})
+    return _flat(spark, d, PRICE, {"min_price": "schema:minPrice", "max_price": "schema:maxPrice", "currency": "schema:priceCurrency", "currency_fr": "schema:priceCurrency/fr"})
 
 
 def p2_audiences(spark, d):
     return _flat(spark, d, AUDIENCE, {"label_fr": "rdfs:label/fr", "label": "rdfs:label"})
 
 
+def p2_locations(spark, d):
+    return _flat(spark, d, LOCATION, {"lat": "schema:geo/schema:latitude", "lon": "schema:geo/schema:longitude"})
+
+
 def p2_addresses(spark, d):
-    return _flat(spark, d, ADDRESS, {"street": "schema:streetAddress", "postal_code": "schema:postalCode", "locality": "schema:addressLocality"})
+    city = "hasAddressCity/rdfs:label/fr"
+    region = "hasAddressCity/isPartOfDepartment/isPartOfRegion/rdfs:label/fr"
+    return _flat(spark, d, ADDRESS, {"street": "schema:streetAddress", "postal_code": "schema:postalCode", "locality": "schema:addressLocality", "city_fr": city, "region_fr": region})
 
 
 def p2_periods(spark, d):
-    return _flat(spark, d, PERIOD, {"start_date": "startDate", "end_date": "endDate"})
+    return _flat(spark, d, PERIOD, {"start_date": "startDate", "end_date": "endDate", "start_time": "startTime", "end_time": "endTime"})
 
 
 def p3_found(spark, d):
@@ -139,5 +154,5 @@ with e(region_id, y1, x1, y2, x2) as (values {_ring_sql()}),
 select region_id, count(*) as places, count(distinct id) as ids from hit group by region_id
 """
 
-QUERIES = {"p2_found": p2_found, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_regions": p6_regions}
+QUERIES = {"p2_found": p2_found, "p2_offers": p2_offers, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_locations": p2_locations, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_regions": p6_regions}
 SQL = {"p6_found": P6_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}

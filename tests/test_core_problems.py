@@ -152,3 +152,38 @@ def test_nested_equals_direct_reading(spark, where):
     want = {(i, *e) for i, (_, t) in last.items() for e in _direct(t)}
     got = [tuple(r) for r in core.p2_found(spark, where).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+TABLES = {core.OFFER: "p2_offers", core.PRICE: "p2_prices", core.AUDIENCE: "p2_audiences", core.LOCATION: "p2_locations", core.ADDRESS: "p2_addresses", core.PERIOD: "p2_periods"}
+
+
+def test_nested_tables_keep_every_leaf(spark, tmp_path):
+    doc = {
+        "offers": [{"rdfs:label": "Menu"}, 3, {"schema:priceSpecification": {"schema:priceCurrency": {"fr": ["EUR"]}, "note": 1, "hasAudience": [{"a/b": 1, "a": {"b": 2}, "": 3}]}}],
+        "isLocatedAt": {"schema:geo": {"schema:latitude": "4.5", "schema:longitude": 6}, "schema:address": [{"hasAddressCity": {"rdfs:label": {"fr": ["V"]}, "insee": "1"}}]},
+        "takesPlaceAt": [{"startDate": "2025-01-01", "startTime": "09:00:00", "endTime": "10:00:00", "n": 7}, {}],
+    }
+    columns = "snapshot_no int, id string, ingested_at timestamp, content_hash string, raw_payload string"
+    spark.createDataFrame([(4, "r", None, "0", json.dumps(doc))], columns).write.parquet(f"{tmp_path}/bronze_raw_poi.parquet")
+    got = {t: {(r.parent_path, r.pos_path): {k: v for k, v in r.asDict().items() if v and k not in ("id", "parent_path", "pos_path")} for r in core.QUERIES[t](spark, str(tmp_path)).collect()} for t in TABLES.values()}
+    assert got == {
+        "p2_offers": {("", "0"): {"label": "Menu"}, ("", "2"): {}},
+        "p2_prices": {("2", "2.0"): {"currency_fr": '["EUR"]', "other": {"note": "1"}}},
+        "p2_audiences": {("2.0", "2.0.0"): {"other": {"a~1b": "1", "a/b": "2", "": "3"}}},
+        "p2_locations": {("", "0"): {"lat": "4.5", "lon": "6"}},
+        "p2_addresses": {("0", "0.0"): {"city_fr": '["V"]', "other": {"hasAddressCity/insee": "1"}}},
+        "p2_periods": {("", "0"): {"start_date": "2025-01-01", "start_time": "09:00:00", "end_time": "10:00:00", "other": {"n": "7"}}, ("", "1"): {}},
+    }
+
+
+def test_nested_tables_hold_all_leaves_and_parents(spark, root):
+    compiled = nested._compile(list(TABLES))
+    want = dict.fromkeys(TABLES, 0)
+    for r in core.delivered(spark, root).collect():
+        for a, _, _, value in nested.shred(r.raw_payload, compiled, True):
+            want[a] += value is not None
+    rows = {a: [r.asDict() for r in core.QUERIES[t](spark, root).collect()] for a, t in TABLES.items()}
+    assert {a: sum(len(r["other"]) + sum(v is not None for k, v in r.items() if k not in ("id", "parent_path", "pos_path", "other")) for r in rs) for a, rs in rows.items()} == want
+    at = {a: {(r["id"], r["pos_path"]) for r in rs} for a, rs in rows.items()}
+    for child, parent in ((core.PRICE, core.OFFER), (core.AUDIENCE, core.PRICE), (core.ADDRESS, core.LOCATION)):
+        assert {(r["id"], r["parent_path"]) for r in rows[child]} <= at[parent] and rows[child]
