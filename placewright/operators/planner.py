@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.scalars import haversine_km
 from placewright.operators.places import top_per_group
+from placewright.plans.cut import cut
 
 
 def nearest_center(places: DataFrame, centers: list[tuple[float, float]]) -> DataFrame:
@@ -51,35 +52,49 @@ def kmeans_days(places: DataFrame, k: int, starts: int = 10) -> DataFrame:
     return nearest_center(ready.drop("__x"), centers)
 
 
-def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, sample: int = 2000) -> DataFrame:
-    """K-means days for many groups at once: ``group``, ``id``, ``day``.
+def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, rounds: int = 50, small: int = 100_000) -> DataFrame:
+    """K-means days for many groups at once, the best of several starts: ``group``, ``id``, ``day``.
 
-    Centres are fitted per group on at most ``sample`` of its rows, by a hash of the id (a model's bounded
-    sample); every row is then assigned to a centre, without a Python group of unbounded size.
+    Every row of every group counts. Equal points are taken together with their number, and each round of
+    Lloyd's iterations is one aggregation over all points, groups and starts that still move, so a group of any
+    size is summed in parts by many tasks. Centres are broadcast as long as they are at most ``small`` rows.
+    Starts are ``k`` distinct points, the first by a hash; days are numbered by their centre's coordinates.
     """
-    import numpy as np
-    import pandas as pd
-
-    kind = dict(places.dtypes)[group]
-    w = Window.partitionBy(group).orderBy(F.xxhash64("id"), "id")
-    fit_rows = places.select(group, "id", "lat", "lon").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample).drop("__r")
-
-    def fit(pdf):
-        x = np.unique(pdf[["lat", "lon"]].to_numpy(), axis=0)
-        n, best = min(k, len(x)), None
-        for s in range(starts):
-            c = x[np.random.default_rng(42 + s).choice(len(x), n, replace=False)]
-            for _ in range(50):
-                at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-                moved = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(n)])
-                if np.allclose(moved, c):
-                    break
-                c = moved
-            cost = ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
-            if best is None or cost < best[0]:
-                best = cost, c
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "centers": [[{"lat": float(a), "lon": float(o)} for a, o in sorted(map(tuple, best[1]))]]})
-
-    centers = fit_rows.groupBy(group).applyInPandas(fit, f"{group} {kind}, centers array<struct<lat:double,lon:double>>")
-    d2 = F.transform("centers", lambda c, i: F.struct((F.pow(F.col("lat") - c["lat"], 2) + F.pow(F.col("lon") - c["lon"], 2)).alias("d2"), (i + 1).alias("day")))
-    return places.select(group, "id", "lat", "lon").join(centers, group).select(group, "id", F.array_min(d2)["day"].alias("day"))
+    numbers = range(k)
+    near = lambda df: F.broadcast(df) if df.count() <= small else df
+    d2 = [F.pow(F.col("lat") - F.col(f"a{j}"), 2) + F.pow(F.col("lon") - F.col(f"o{j}"), 2) for j in numbers]
+    least = F.least(*d2) if k > 1 else d2[0]
+    day = F.coalesce(*(F.when(d == least, j) for j, d in enumerate(d2)))  # missing centres are null, which least passes over
+
+    usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    points = cut(places.where(F.col(group).isNotNull() & usable).groupBy(F.col(group).alias("g"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).agg(F.count(F.lit(1)).alias("w")))
+    w = Window.partitionBy("g", "s").orderBy(F.xxhash64("lat", "lon", "s"), "lat", "lon")
+    first = points.select("g", "lat", "lon", F.explode(F.sequence(F.lit(1), F.lit(starts))).alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    pick = lambda c, j: F.max(F.when(F.col("r") == j + 1, F.col(c)))
+    centers = cut(first.groupBy("g", "s").agg(*(pick(c, j).alias(f"{n}{j}") for j in numbers for n, c in (("a", "lat"), ("o", "lon")))))
+
+    settled = None
+    for turn in range(rounds + 1):
+        at = points.join(near(centers), "g").withColumn("d2", least).withColumn("j", day)
+        mine = lambda x, j: F.sum(F.when(F.col("j") == j, x))
+        sums = at.groupBy("g", "s").agg(
+            F.sum(F.col("w") * F.col("d2")).alias("cost"),
+            *(F.first(f"{n}{j}").alias(f"{n}{j}") for j in numbers for n in "ao"),
+            *(F.coalesce(mine(F.col("w") * F.col(c), j) / mine(F.col("w"), j), F.first(f"{n}{j}")).alias(f"{n}{j}_") for j in numbers for n, c in (("a", "lat"), ("o", "lon"))),
+        )
+        names = [f"{n}{j}" for j in numbers for n in "ao"]
+        moves = F.lit(False)
+        for n in names:
+            moves = moves | F.coalesce(F.abs(F.col(f"{n}_") - F.col(n)) > 1e-8 + 1e-5 * F.abs(F.col(n)), F.lit(False))
+        state = cut(sums.withColumn("moves", moves if turn < rounds else F.lit(False)))
+        still = state.where(~F.col("moves")).select("g", "s", "cost", *names)
+        settled = still if settled is None else settled.unionByName(still)
+        centers = state.where("moves").select("g", "s", *(F.col(f"{n}_").alias(n) for n in names))
+        if centers.isEmpty():
+            break
+
+    # the centres in the order of their coordinates; those that a group of few points lacks are left out
+    ordered = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"a{j}").alias("lat"), F.col(f"o{j}").alias("lon")) for j in numbers)), lambda c: c["lat"].isNotNull()))
+    best = settled.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("cost", "s")).alias("b")).select(F.col("g").alias(group), "b.*").withColumn("c", ordered)
+    best = cut(best.select(group, *(F.get("c", F.lit(j))[x].alias(f"{n}{j}") for j in numbers for n, x in (("a", "lat"), ("o", "lon")))))
+    return places.select(group, "id", "lat", "lon").join(near(best), group).select(group, "id", (day + 1).alias("day"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -121,6 +122,29 @@ def test_planner(spark):
     assert sorted((r.id, r.day, r.stop) for r in dealt) == [("0", 1, 1), ("1", 2, 1), ("2", 3, 1), ("3", 1, 2), ("4", 2, 2), ("5", 3, 2)]
 
 
+def test_kmeans_of_a_group_counts_every_row(spark):
+    # 30,000 rows at one point of each of two clusters, and one row far from them: any sample of 2,000 rows misses it
+    rows = [(f"{i:05d}", 45.0 + i % 2, 3.0) for i in range(30_000)] + [("far", 10.0, 3.0)]
+    df = spark.createDataFrame(rows, "id string, lat double, lon double").withColumn("city", F.lit("c")).unionByName(spark.createDataFrame([("x", 1.0, 1.0, "one"), ("y", 1.0, 1.0, "one")], "id string, lat double, lon double, city string"))
+    got = {(r.city, r.day): r["count"] for r in planner.kmeans_per_group(df, "city", 3).groupBy("city", "day").count().collect()}
+    assert got == {("c", 1): 1, ("c", 2): 15_000, ("c", 3): 15_000, ("one", 1): 2}
+
+
+def test_kmeans_of_groups_ends_at_means(spark):
+    rng = random.Random(5)
+    rows = [(f"{g}{i}", g, rng.gauss(rng.choice((44, 45, 47)), 0.3), rng.gauss(rng.choice((2, 5)), 0.3)) for g in "ab" for i in range(6_000)]
+    df = spark.createDataFrame(rows, "id string, city string, lat double, lon double")
+    got = {r.id: r.day for r in planner.kmeans_per_group(df, "city", 3).collect()}
+    assert len(got) == len(rows)
+    for g in "ab":
+        mine = [r for r in rows if r[1] == g]
+        days = [[r for r in mine if got[r[0]] == day] for day in (1, 2, 3)]
+        means = [(sum(r[2] for r in x) / len(x), sum(r[3] for r in x) / len(x)) for x in days]
+        assert means == sorted(means)
+        nearest = [min((1, 2, 3), key=lambda day: (r[2] - means[day - 1][0]) ** 2 + (r[3] - means[day - 1][1]) ** 2) for r in mine]
+        assert sum(n != got[r[0]] for n, r in zip(nearest, mine, strict=True)) <= 0.002 * len(mine)
+
+
 def test_events(spark):
     steps = spark.createDataFrame([("a", s, v) for s, v in enumerate([9, 9, 1, 9, 9, 9])], "k string, s bigint, v int")
     assert [tuple(r) for r in events.held(steps, ["k"], "s", F.col("v") > 5, 3).collect()] == [("a", 3, 5, 3)]
