@@ -62,8 +62,9 @@ def extract_prices(spark, d):
 @query("scan_json_docs")
 def scan_json_docs(spark, d):
     out = scratch(spark, "json")
-    delivered(spark, d).select(F.col("raw_payload").alias("value")).repartition(8).write.text(f"{out}/lines")
-    return spark.read.option("mode", "DROPMALFORMED").schema("`@id` string, `dc:identifier` string").json(f"{out}/lines")
+    archives.write_sequence(delivered(spark, d).select("raw_payload").repartition(8), f"{out}/documents")
+    fields = F.from_json("document", "`@id` string, `dc:identifier` string")
+    return archives.scan_sequence(spark, f"{out}/documents").select(fields.alias("x")).select("x.*")
 
 
 @query("scan_zip_json", "select cast(count(*) as bigint) as members, count(distinct id) as ids from (select id, row_number() over (partition by id order by ingested_at desc nulls last, content_hash desc nulls last, raw_payload desc nulls last) rn, raw_payload from bronze_raw_poi where snapshot_no = 4 and id is not null) where rn = 1 and json_valid(raw_payload)")

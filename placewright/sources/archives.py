@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def documents_of(member: str, data: bytes) -> list[str]:
+#: Stands between the documents of a sequence; no readable document holds it.
+RECORD_END = "\x1e"
+
+
+def documents_of(member: str, data: bytes, ascii: bool = False) -> list[str]:
     """The JSON objects of a file: the objects of a top-level list, or a lone object; nothing of an unreadable file."""
     try:
         doc = json.loads(data)
     except (ValueError, RecursionError):
         return []
-    return [json.dumps(x, ensure_ascii=False) for x in (doc if isinstance(doc, list) else [doc]) if isinstance(x, dict)]
+    return [json.dumps(x, ensure_ascii=ascii) for x in (doc if isinstance(doc, list) else [doc]) if isinstance(x, dict)]
 
 
 def unzip(archives: DataFrame, prefix: str = "objects/", suffix: str = ".json") -> DataFrame:
@@ -57,6 +61,24 @@ def scan_json(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, "member string, document string")
 
 
+def write_sequence(texts: DataFrame, path: str) -> None:
+    """Write a column of documents to text files, each ended by ``RECORD_END``, so that line breaks inside stay."""
+    whole = texts.toDF("value").where(~F.contains("value", F.lit(RECORD_END)))
+    whole.write.option("lineSep", RECORD_END).text(path)
+
+
+def scan_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """``document`` of all files that ``write_sequence`` wrote; unreadable texts give nothing."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([d for t in batch.column(0).to_pylist() for d in documents_of("", t, ascii=True)], pa.string())], names=["document"])
+
+    return spark.read.option("lineSep", RECORD_END).text(path).mapInArrow(read, "document string")
+
+
 def merged_metadata(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Snapshot metadata with the new values that aren't null over the old ones."""
     fresh = new.select(F.col(key), *(F.col(c).alias(f"__{c}") for c in new.columns if c != key))

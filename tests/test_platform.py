@@ -14,6 +14,7 @@ from placewright.functions import jsonpath as J
 from placewright.functions import scalars as S
 from placewright.functions.text import clean_text, fold, strip
 from placewright.operators import changes, documents, events, places, planner, quality
+from placewright.plans import raw_documents
 from placewright.sources import archives
 from placewright.streaming import intake
 
@@ -177,6 +178,24 @@ def test_archives(spark, tmp_path):
     assert io and isinstance(archives.documents_of("x", b"[" * 100_000), list)
 
 
+def test_scan_json_docs_reads_every_readable_payload(spark, tmp_path):
+    one = {"@id": "a", "dc:identifier": 5, "x": [{"y": "l1\nl2 é"}]}
+    texts = [json.dumps(one), json.dumps(one, indent=2), json.dumps(one, indent=1).replace("\n", "\r\n"), json.dumps([one, 3, one]), '{"@id": "\\ud800"}', "{", '{"@id": "a\nb"}', '{"@id": "p"}\x1e{"@id": "q"}', "", None, '{"@id": "t"} tail']
+    rows = [(4, f"r{i}", None, "0", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "snapshot_no int, id string, ingested_at timestamp, content_hash string, raw_payload string").write.parquet(f"{tmp_path}/bronze_raw_poi.parquet")
+    got = sorted(map(tuple, raw_documents.scan_json_docs(spark, str(tmp_path)).where("`dc:identifier` is not null").collect()))
+    assert got == [("a", "5")] * 5
+    assert raw_documents.scan_json_docs(spark, str(tmp_path)).count() == 6
+
+
+def test_scan_json_docs_on_table(spark):
+    where = "/root/testdata/sf0.1"
+    texts = [r.raw_payload for r in raw_documents.delivered(spark, where).collect()]
+    want = sorted(json.loads(d)["@id"] for t in texts for d in archives.documents_of("", t or ""))
+    got = sorted(r["@id"] for r in raw_documents.scan_json_docs(spark, where).collect())
+    assert got == want and any("\n" in (t or "").strip() for t in texts)
+
+
 def test_stream_takes_each_message_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     message = lambda o, v: ("t", 0, o, v)
