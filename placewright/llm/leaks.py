@@ -4,6 +4,9 @@
   to its maximal runs of such words that are at least ``SPAN`` words long; each
   position of a run begins a passage of ``SPAN`` words. Nothing else can hold a
   leak of ``SPAN`` consecutive words. Item passages begin at every word.
+* A paraphrase may hold other words too. Where fewer than ``SPAN`` words need be
+  shared, every ``SPAN`` consecutive words of which at least ``least`` are item
+  words are a passage; the others are one reserved number without weight.
 * Passages are TF-IDF vectors; document frequencies are counted over all
   documents. Their Gram matrix is added up over the cluster (its size is bounded
   by the items' vocabulary), and a randomised range finder with power iterations
@@ -76,8 +79,25 @@ class Items:
         self.item, self.words = table[:, 0], table[:, 1:].astype(np.int32)
 
 
-def runs(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
-    """``k``, ``terms`` (item words that the document holds), ``runs`` (its runs of item words, each at least ``SPAN`` long)."""
+def stretches(words: list, least: int, other: int) -> list[list[int]]:
+    """Of a text's numbers (None for foreign words, which come out as ``other``): what windows of ``SPAN`` with at least ``least`` known words cover, cut so that every window of a stretch is one."""
+    found, held, begin = [], 0, None
+    for end, n in enumerate((*words, None), 1):
+        if end <= len(words):
+            held += n is not None
+            if end > SPAN:
+                held -= words[end - SPAN - 1] is not None
+        good = end <= len(words) and end >= SPAN and held >= least
+        if good and begin is None:
+            begin = end - SPAN
+        if not good and begin is not None:
+            found.append([other if w is None else w for w in words[begin : end - 1]])
+            begin = None
+    return found
+
+
+def runs(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int], least: int = SPAN) -> DataFrame:
+    """``k``, ``terms`` (item words that the document holds), ``runs`` (its runs of item words, each at least ``SPAN`` long; for less than ``SPAN`` shared words its stretches)."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dict(documents.dtypes)[key]
 
@@ -90,6 +110,11 @@ def runs(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int])
             for t in batch.column(1).to_pylist():
                 seen, own = set(), []
                 for words in read(t) if t else ():
+                    if least < SPAN:
+                        numbers = [known(w) for w in words]
+                        seen.update(n for n in numbers if n is not None)
+                        own += stretches(numbers, least, len(shared.value))
+                        continue
                     run: list[int] = []
                     for n in (*map(known, words), None):
                         if n is not None:
@@ -251,14 +276,15 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     out = None
     for b in range(blocks):
         mine = Items([(r.i, r.t) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()])
-        n = len(mine.vocabulary)
+        n = len(mine.vocabulary) + (least < SPAN)  # the last for foreign words
         if not len(mine.item):
             continue
-        found = cut(runs(documents, key, text, mine.vocabulary))
+        found = cut(runs(documents, key, text, mine.vocabulary, least))
         df = np.zeros(n)
         counted = found.select(F.explode("terms").alias("w")).groupBy("w").count().toArrow()
         df[counted.column("w").to_numpy()] = counted.column("count").to_numpy()
         idf = np.log((1 + n_docs) / (1 + df)) + 1
+        idf[len(mine.vocabulary) :] = 0
         summed = gram(found, n)
         own, own_count = _products(mine.words, n)
         cells, at = np.unique(np.concatenate([summed.column("cell").to_numpy(), own]), return_inverse=True)

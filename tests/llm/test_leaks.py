@@ -60,6 +60,32 @@ def test_paraphrase(spark):
     assert [(r.doc_id, r.item_id) for r in leaks.leaks(d, "doc_id", "text", t, "item_id", "text", cosine=0.7, least=6).collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize("words", [5, 100_000])
+def test_paraphrase_with_foreign_words(spark, monkeypatch, words):
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", words)
+    docs = [
+        (1, "Avant tout, quel vieux sentier relie donc l’étang perdu de Vougaril"),  # put in
+        (2, "Quel ancien sentier relie l’étang perdu de Vougaril"),  # put in the place of another
+        (3, "Quel xa vieux xb sentier xc relie xd étang xe perdu xf Vougaril xg pressoir"),  # too far apart
+        (4, "perdu étang xa l’ relie sentier xb vieux Quel de Vougaril au"),
+        (5, "Quel vieux sentier relie l’étang"), (6, None), (7, OTHER), *((k, "un vieux mot") for k in range(8, 20)),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id long, text string")
+    got = leaks.leaks(d, "doc_id", "text", t, "item_id", "text", cosine=0.7, least=6)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 1), (7, 2)]
+    assert leaks.leaks(d, "doc_id", "text", t, "item_id", "text").select("doc_id").collect() == [(7,)]
+
+
+def test_stretches_hold_all_windows():
+    rng = np.random.default_rng(3)
+    for size in (0, 5, 7, 8, 9, 60):
+        for _ in range(50):
+            words = [int(n) if n else None for n in rng.integers(0, 4, size)]
+            want = [[9 if w is None else w for w in words[k : k + 8]] for k in range(size - 7) if sum(w is not None for w in words[k : k + 8]) >= 6]
+            assert [s[k : k + 8] for s in leaks.stretches(words, 6, 9) for k in range(len(s) - 7)] == want
+
+
 def test_latent_terms_are_leading_eigenvectors():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 30, (400, leaks.SPAN)).astype(np.int32)
