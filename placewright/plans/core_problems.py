@@ -23,19 +23,30 @@ def delivered(spark, d, snapshot=LAST_SNAPSHOT):
     return latest(rows, ["id"], [F.desc_nulls_last("ingested_at"), F.desc_nulls_last("content_hash"), F.desc_nulls_last("raw_payload")]).select("id", "raw_payload")
 
 
+def _path(c):
+    return F.array_join(F.col(c).cast("array<string>"), ".")
+
+
 def p2_found(spark, d):
-    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), list(ENTITIES), with_leaves=False)
+    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), TABLES, only=list(ENTITIES))
     entity = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))[F.col("ancestor")]
-    return found.select("id", entity.alias("entity"), F.array_join(F.col("pos").cast("array<string>"), ".").alias("pos_path"))
+    return nested.pivot_groups(found, ["id"]).select("id", entity.alias("entity"), _path("pos").alias("pos_path"))
+
+
+def p2_tables(spark, d):
+    """All tables that the payloads hold, their repeated names found in the data: rows, records, leaf paths, values."""
+    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"))
+    rows = nested.pivot_groups(found, ["id"])
+    leaves = F.map_keys("leaves")
+    paths = rows.select("ancestor", F.explode(leaves).alias("leaf")).groupBy("ancestor").agg(F.countDistinct("leaf").alias("paths"), F.count(F.lit(1)).alias("values"))
+    return rows.groupBy("ancestor").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("records")).join(paths, "ancestor", "left").select("ancestor", "objects", "records", F.coalesce("paths", F.lit(0)).alias("paths"), F.coalesce("values", F.lit(0)).alias("values"))
 
 
 def _flat(spark, d, ancestor, columns):
     """A table of the last snapshot's objects: leaves named in ``columns``, and all others by path in ``other``."""
-    below = [t for t in TABLES if t.startswith(ancestor)]  # where a table of its own begins, the leaves end
-    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), below)
+    found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"), TABLES, only=[ancestor])
     flat = nested.pivot_group(found, ["id"], ancestor, columns, "other")
-    path = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
-    return flat.select("id", path("parent_pos").alias("parent_path"), path("pos").alias("pos_path"), *columns, "other")
+    return flat.select("id", _path("parent_pos").alias("parent_path"), _path("pos").alias("pos_path"), *columns, "other")
 
 
 def p2_offers(spark, d):
@@ -74,7 +85,7 @@ def p3_city_join(spark, d):
     places, clusters = table(spark, d, "silver_places"), table(spark, d, "gold_clusters")
     key = city_key(F.col("city"))
     j = eager.eager_join_aggregate(places, clusters, key, key, {"lat": F.when(F.col("lat").between(-90, 90), F.col("lat"))}, {"score": F.col("total_score"), "pois": F.col("poi_count").cast("bigint")})
-    return j.select(F.col("k").alias("city"), "join_rows", "left_rows", "right_rows", F.round(F.col("avg_lat") + 1e-9, 4).alias("avg_lat"), F.round("sum_score", 3).alias("sum_score"), "sum_pois", "max_score")
+    return j.select(F.col("k").alias("city"), F.col("join_rows").cast("bigint").alias("join_rows"), "left_rows", "right_rows", F.round(F.col("avg_lat") + 1e-9, 4).alias("avg_lat"), F.round("sum_score", 3).alias("sum_score"), F.col("sum_pois").cast("bigint").alias("sum_pois"), "max_score")
 
 
 P3_CITY = r"nullif(lower(regexp_replace(city, '^[\s\p{Z}\x1c-\x1f]+|[\s\p{Z}\x1c-\x1f]+$', '', 'g')), '')"
@@ -127,6 +138,20 @@ where 2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2)
       + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30
 """
 
+def p6_links(spark, d):
+    """The linear form: one row per listing and point, instead of pairs."""
+    return slabs.near_links(table(spark, d, "silver_places"), "id", "lat", "lon", 30.0)
+
+
+P6_LINKS_SQL = """
+with p as (select distinct id, lat, case when lon = 180 then -180e0 else lon end lon from silver_places where id is not null and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0)),
+     c as (select lat, lon, count(*) n from p group by lat, lon),
+     l as (select a.lat, a.lon, count(*) n from c a join c b on (a.lat <> b.lat or a.lon <> b.lon) and abs(a.lat - b.lat) < 0.0003e0
+           where 2 * 6371008.8e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2)
+                 + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30 group by a.lat, a.lon)
+select p.id, p.lat, p.lon, c.n as copies, coalesce(l.n, 0) as links from p join c on c.lat = p.lat and c.lon = p.lon left join l on l.lat = p.lat and l.lon = p.lon
+"""
+
 #: Three invented rings (latitude, longitude), one concave, two overlapping.
 RINGS = {
     "north": ((45.2, 0.5), (47.5, 1.0), (47.0, 4.0), (46.1, 2.4), (45.4, 4.5)),
@@ -154,5 +179,5 @@ with e(region_id, y1, x1, y2, x2) as (values {_ring_sql()}),
 select region_id, count(*) as places, count(distinct id) as ids from hit group by region_id
 """
 
-QUERIES = {"p2_found": p2_found, "p2_offers": p2_offers, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_locations": p2_locations, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_regions": p6_regions}
-SQL = {"p6_found": P6_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}
+QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_offers": p2_offers, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_locations": p2_locations, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_links": p6_links, "p6_regions": p6_regions}
+SQL = {"p6_found": P6_FOUND_SQL, "p6_links": P6_LINKS_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}
