@@ -1,15 +1,19 @@
 """Reading level of documents from classic readability formulas.
 
-Counts per document (sentences, words, letters, syllables, long words) are
-regular expressions inside the JVM. Syllables follow hyphenation-style rules: a
-group of vowels makes one, a silent ending takes one off, a word without vowels
-has one. Six grade estimates (Flesch-Kincaid, fog, automated readability,
+Texts are read once, in Arrow batches: a text is cleaned, cut into sentences and
+words, and every distinct word is measured once per task (letters, syllables). Syllables
+come from hyphenation patterns: strings of letters with digits at the places where
+a word may be broken (odd) or must not be (even); of all patterns that fit a word the
+greatest digit counts at each place, as in typesetting, and a word has one syllable
+more than places to break it. Six grade estimates (Flesch-Kincaid, fog, automated readability,
 Coleman-Liau, SMOG, LIX as a grade) are combined by their median. Two thresholds
 per language turn the grade into a level; they are those that agree with most
 ratings, found on a histogram of all rated documents (at most
 ``2 * GRADE_BINS * levels`` numbers reach the driver, whatever the corpus holds).
+The grades are kept in the checkpoint folder, so that rated texts aren't read twice.
 
-Cleaning: tags and character entities are resolved, invisible characters inside
+Cleaning: tags of any length and character entities are resolved, text that was decoded wrongly is
+mended where it spells UTF-8, invisible characters inside
 words dropped, words hyphenated at a line's end joined, decimal points and a few
 titles don't end sentences; in lists, a new line that begins with a bullet or
 a capital does.
@@ -21,10 +25,12 @@ without any rating of a language the thresholds of all languages together hold,
 and without any rating at all ``DEFAULT_CUTS``; texts are read whole.
 """
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewright.functions.text import fold
+from placewright.plans.cut import cut
 
 GRADE_BINS = 600
 BIN = 0.1
@@ -32,51 +38,163 @@ DEFAULT_CUTS = (6.0, 12.0)
 FRENCH = "le la les de du des et un une est au pour on il ce"
 ENGLISH = "the of and to is in a at for you it my we by"
 
-_INVISIBLE = r"[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}\x{fe0f}]"
+# Hyphenation patterns. V is any vowel, C any consonant, . the word's end or begin. Between two groups of vowels a
+# word is broken once, before the last consonant or an inseparable pair.
+PAIRS = "bl br cl cr dr fl fr gl gr pl pr tr vr ch ph th".split()
+COMMON = "V1CV VC1CV VCC1CV VCCC1CV VCCCC1CV " + " ".join(f"V3{a}4{b}V C3{a}4{b}V" for a, b in PAIRS)
+#: Silent endings don't make a syllable; accented vowels sound, and part from most vowels beside them.
+FRENCH_PATTERNS = COMMON + " V3g4nV C3g4nV 6Ce. 6Ces. 6Cent. " + " ".join(f"8{a}8{b}e. 8{a}8{b}es. 8{a}8{b}ent." for a, b in [*PAIRS, "gn"]) + " V9ment. a1é e1é o1é u1é a1è o1è é1a é1â é1e é2e. é2es. é1o é1i é1u u1ï a1ï o1ï é1ï ï1a ï1e ï1o V1ë a1o"
+ENGLISH_PATTERNS = COMMON + " 6Ce. 6Ces. 6Ced. V9Cle. C9Cle. V9Cles. C9Cles. 9ses. 9zes. 9xes. 9ces. 9ges. 9ches. 9shes. 9ted. 9ded. i1a i1o ti4a ti4o ci4a ci4o si4o gi4o u1a qu4a gu4a de1o ne1o re1o te1o e1u i1u ti4u u1o eo4u e1a. e1as."
+VOWELS = "aeiouyàâäáãåæéèêëíìîïóòôöõœúùûüýÿ"
+CONSONANTS = "bcdfghjklmnpqrstvwxzçñ"
+
+
+def breaker(patterns: str):
+    """A function from a word in lower case to its number of syllables."""
+    import re
+    from itertools import product
+
+    kinds = {"V": VOWELS, "C": CONSONANTS}
+    levels: dict[str, list] = {}
+    for p in patterns.split():
+        parts = re.findall(r"(\d?)([^\d])", p)
+        digits = [int(n or 0) for n, _ in parts]
+        # patterns of kinds alone are met by a word's kinds, the others are written out
+        mixed = any(c not in kinds for _, c in parts)
+        for letters in product(*(kinds[c] if mixed and c in kinds else c for _, c in parts)):
+            old = levels.get("".join(letters), digits)
+            levels["".join(letters)] = [max(a, b) for a, b in zip(old, digits, strict=True)]
+    longest = max(map(len, levels))
+    vowels = set(VOWELS)
+    kind_of = str.maketrans({**dict.fromkeys(VOWELS, "V"), **dict.fromkeys(CONSONANTS, "C")})
+
+    def syllables(word: str) -> int:
+        sounded = [i for i, c in enumerate(word, 1) if c in vowels]
+        if not sounded:
+            return 1
+        plain = f".{word}."
+        best = [0] * len(plain)
+        for form in (plain, plain.translate(kind_of)):
+            for i in range(len(form)):
+                for n in range(i + 2, min(i + longest, len(form)) + 1):
+                    found = levels.get(form[i:n])
+                    if found:
+                        for k, d in enumerate(found, i):
+                            if d > best[k]:
+                                best[k] = d
+        return 1 + sum(d & 1 for d in best[sounded[0] + 1 : sounded[-1] + 1])
+
+    return syllables
+
+
+def _measurer():
+    """A function from texts to their counts, and the memory of measured words it keeps."""
+    import html
+    import re
+    import unicodedata
+
+    import numpy as np
+
+    tag = re.compile(r"</?[A-Za-z][^<>]*>")
+    invisible = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
+    broken = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+    wrong = re.compile("[\u0080-\U0010ffff]+")
+    bullet = re.compile(r"^[ \t]*[-*•] ", re.M)
+    item = re.compile(r"\s*[\r\n]+\s*(?:[-*•] +|(?=[A-ZÀ-ÖØ-Þ]))")
+    blank = re.compile(r"(?:\r?\n[ \t]*){2,}")
+    decimal = re.compile(r"(?<=\d)[.,:](?=\d)")
+    title = re.compile(r"\b(M|Mme|Mr|Mrs|Dr|St|No)\.")
+    sentence = re.compile(r"[^\W_][^.!?…]*")
+    word = re.compile(r"[^\W_]+")
+    split = (breaker(FRENCH_PATTERNS), breaker(ENGLISH_PATTERNS))
+    marks = [set(FRENCH.split()), set(ENGLISH.split())]
+
+    def mended(m):
+        try:
+            return m[0].encode("cp1252").decode()
+        except ValueError:
+            return m[0]
+
+    class Words(dict):
+        """From a word to its row of ``features``."""
+
+        def __init__(self):
+            self.features = np.zeros((1024, 9), dtype=np.int32)
+
+        def __missing__(self, w):
+            n = self[w] = len(self)
+            if n >= len(self.features):
+                self.features = np.concatenate([self.features, np.zeros_like(self.features)])
+            letters = sum(c.isalpha() for c in w)
+            if letters:
+                s = [f(w) for f in split]
+                self.features[n] = (1, 1, letters, letters > 6, *s, s[0] > 2, s[1] > 2, (w in marks[0]) - (w in marks[1]))
+            else:
+                self.features[n, 0] = 1
+            return n
 
+    known = Words()
 
-def cleaned(text: Column) -> Column:
-    """The text as a reader sees it."""
-    t = F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>", " ")
-    t = F.regexp_replace(t, r"&([A-Za-z])(?:acute|grave|circ|uml|cedil|tilde|ring|slash|caron);", "$1")
-    t = F.regexp_replace(t, r"&(?:[lr]squo|apos|#0*39|#x0*27);", "'")
-    t = F.regexp_replace(t, r"&(?:[A-Za-z]{2,8}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", " ")
-    t = F.regexp_replace(t, _INVISIBLE, "")
-    return F.regexp_replace(t, r"(?<=\p{L})-[ \t]*\r?\n[ \t]*(?=\p{Ll})", "")
+    def cleaned(text):
+        t = tag.sub(" ", text) if "<" in text else text
+        t = html.unescape(t) if "&" in t else t
+        if "Ã" in t or "Â" in t or "â" in t:
+            t = wrong.sub(mended, t)
+        if not t.isascii():
+            t = unicodedata.normalize("NFC", invisible.sub("", t))
+            lone = "".join(c for c in set(t) if c > "˿" and unicodedata.category(c)[0] == "M")
+            if lone:
+                t = t.translate(dict.fromkeys(map(ord, lone)))
+        if "-" in t:
+            t = broken.sub("", t)
+        if "\n" in t or "\r" in t:
+            t = item.sub(" . ", t) if bullet.search(t) else blank.sub(" . ", t)
+        return title.sub(r"\1", decimal.sub("", t))
 
+    def measure(texts):
+        """Of each text: sentences, and the sums of its words' features."""
+        flat, ends, sentences = [], [0], []
+        for text in texts:
+            if text:
+                t = cleaned(text)
+                sentences.append(len(sentence.findall(t)))
+                flat += word.findall(t.lower())
+            else:
+                sentences.append(0)
+            ends.append(len(flat))
+        rows = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sums = np.zeros((len(flat) + 1, 9), dtype=np.int64)
+        np.cumsum(known.features[rows], axis=0, out=sums[1:])
+        ends = np.array(ends)
+        if len(known) > 1_000_000:  # the memory starts anew; results don't depend on it
+            known.clear()
+        return np.array(sentences, dtype=np.int64), sums[ends[1:]] - sums[ends[:-1]]
 
-def _words(pattern: str) -> str:
-    return r"\b(?:" + "|".join(pattern.split()) + r")\b"
+    return measure
+
+
+COUNTS = "n_words n_alpha n_letters n_long n_syllables n_complex n_sentences".split()
 
 
 def measures(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """``key``, ``tongue`` (fr, en), ``n_words`` and the counts behind the formulas."""
-    # a generator after each step keeps the steps from being computed again for every use
-    step = lambda frame, c: frame.withColumn("t", F.explode(F.array(c)))
-    df = step(df.select(F.col(key), F.lower(F.trim(lang)).alias("l"), F.col(text).alias("raw")), cleaned(F.col("raw")))
-    t = F.col("t")
-    listed = t.rlike(r"(?m)^[ \t]*[-*\x{2022}] ")
-    t = F.when(listed, F.regexp_replace(t, r"\s*[\r\n]+\s*(?:[-*\x{2022}] +|(?=\p{Lu}))", " . ")).otherwise(F.regexp_replace(t, r"(?:\r?\n[ \t]*){2,}", " . "))
-    t = F.regexp_replace(t, r"(?<=\p{N})[.,:](?=\p{N})", "")
-    t = F.regexp_replace(t, r"\b(M|Mme|Mr|Mrs|Dr|St|No)\.", "$1")
-    df = df.select(key, "l", F.explode(F.array(fold(t))).alias("t"))
-    count = lambda p: F.regexp_count("t", F.lit(p))
-    tongue = F.when(F.col("l").rlike("^fr"), "fr").when(F.col("l").rlike("^en"), "en").when(count(_words(FRENCH)) >= count(_words(ENGLISH)), "fr").otherwise("en")
-    silent_fr, silent_en = r"[aeiouy][a-z]*[b-df-hj-np-tv-xz](?:es?|ent)\b", r"[aeiouy][a-z]*(?:[b-df-hj-kmnp-tv-xz]es?|[b-cf-hj-np-su-xz]ed)\b"
-    counts = F.struct(
-        tongue.alias("tongue"),
-        count(r"[\p{L}\p{N}]+").alias("n_words"),
-        F.greatest(F.lit(1), F.regexp_count(F.concat("t", F.lit(".")), F.lit(r"[\p{L}\p{N}][^.!?\x{2026}]*+[.!?\x{2026}]"))).alias("n_sentences"),
-        count(r"[a-z]{1,24}+(?![a-z])").alias("n_alpha"),
-        (F.length("t") - F.length(F.regexp_replace("t", "[a-z]+", ""))).alias("n_letters"),
-        count(r"[aeiouy]+").alias("n_groups"),
-        count(r"\b[b-df-hj-np-tv-xz]+\b").alias("n_bare"),
-        count(r"\b[b-df-hj-np-tv-xz]*(?:[aeiouy]+[b-df-hj-np-tv-xz]+){2}[aeiouy]+[a-z]*").alias("n_complex"),
-        count(r"[a-z]{7,}").alias("n_long"),
-        F.when(tongue == "fr", count(silent_fr)).otherwise(count(silent_en)).alias("n_silent"),
-    )
-    one = df.select(key, F.explode(F.array(counts)).alias("x")).select(key, "x.*")
-    return one.withColumn("n_syllables", F.col("n_groups") - F.col("n_silent") + F.col("n_bare"))
+    """``key``, ``tongue`` (fr, en) and the counts behind the formulas."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        measure = _measurer()
+        for batch in batches:
+            for part in (batch.slice(begin, 500) for begin in range(0, batch.num_rows, 500)):
+                sentences, f = measure(part.column(2).to_pylist())
+                told = [(x or "").strip().lower()[:2] for x in part.column(1).to_pylist()]
+                french = np.array([x == "fr" or (x != "en" and balance >= 0) for x, balance in zip(told, f[:, 8].tolist(), strict=True)], dtype=bool)
+                own = [f[:, 0], f[:, 1], f[:, 2], f[:, 3], np.where(french, f[:, 4], f[:, 5]), np.where(french, f[:, 6], f[:, 7]), np.maximum(sentences, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(french, "fr", "en"), pa.string()), *(pa.array(x.astype(np.int64)) for x in own)], names=["k", "tongue", *COUNTS])
+
+    rows = df.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"k {kind}, tongue string, " + ", ".join(f"{c} bigint" for c in COUNTS)).withColumnRenamed("k", key)
 
 
 def grade() -> Column:
@@ -134,10 +252,10 @@ def fit_cuts(rated: DataFrame) -> dict[str, tuple[float, float]]:
 
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 45, min_rated_words: int = 20) -> DataFrame:
     """``key``, ``tongue``, ``n_words``, ``grade``, ``reading_level``."""
-    docs = documents.select(key, text, lang)
+    every = cut(graded(documents.select(key, text, lang), key, text, lang, min(min_words, min_rated_words)))
     ratings = labels.select(key, "rater", "reading_level").distinct()
-    rated = graded(docs.join(ratings.select(key).distinct(), key, "left_semi"), key, text, lang, min_rated_words).join(ratings, key)
+    rated = every.where(F.col("n_words") >= min_rated_words).join(ratings, key)
     cuts = fit_cuts(rated)
-    out = graded(docs, key, text, lang, min_words)
     of = lambda i: F.when(F.col("tongue") == "fr", cuts["fr"][i]).otherwise(cuts["en"][i])
-    return out.withColumn("reading_level", (F.lit(1) + (F.col("grade") >= of(0)).cast("int") + (F.col("grade") >= of(1)).cast("int")).cast("int"))
+    level = F.lit(1) + (F.col("grade") >= of(0)).cast("int") + (F.col("grade") >= of(1)).cast("int")
+    return every.where(F.col("n_words") >= min_words).withColumn("reading_level", level.cast("int"))

@@ -66,6 +66,21 @@ def test_levels_of_odd_texts(spark):
     assert reading.reading_levels(df.limit(0), none).count() == 0
 
 
+def test_syllables():
+    french, english = reading.breaker(reading.FRENCH_PATTERNS), reading.breaker(reading.ENGLISH_PATTERNS)
+    told = {"le": 1, "les": 1, "place": 1, "tables": 1, "parlent": 1, "moment": 2, "été": 2, "musée": 2, "montagne": 2, "peuple": 1, "poète": 2, "naïf": 2, "aéroport": 4, "théâtre": 2, "instrument": 3, "internationalisation": 8, "km": 1, "splendide": 2}
+    assert {w: french(w) for w in told} == told
+    told = {"the": 1, "table": 2, "made": 1, "places": 2, "boxes": 2, "walked": 1, "wanted": 2, "nation": 2, "radio": 3, "people": 2, "strength": 1, "institutional": 5, "museum": 3, "splendid": 2}
+    assert {w: english(w) for w in told} == told
+
+
+def test_counts_of_marked_up_texts(spark):
+    rows = [(1, "&#233;t&#xE9; c&oelig;ur", "fr"), (2, "<a href='" + "x" * 5_000 + "'>un</a> mot", "fr"), (3, "Ã©tÃ© â€™ fÃªte", "fr"), (4, "e\u0301te\u0301 cen-\r\ntre co\u00adeur", "fr"), (5, "3.5 km. M. Le 12,4 %", "fr"), (6, "œ" * 10_000, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.n_words, r.n_letters, r.n_syllables, r.n_sentences) for r in reading.measures(df, "doc_id", "text", "lang").collect()}
+    assert got == {1: (2, 7, 3, 1), 2: (2, 5, 2, 1), 3: (2, 7, 3, 1), 4: (3, 14, 4, 1), 5: (5, 5, 3, 2), 6: (1, 10_000, 1, 1)}
+
+
 def test_cuts_agree_with_most_ratings():
     low, high = reading.best_cuts({(100, 1): 5, (120, 2): 6, (110, 2): 1, (150, 3): 4, (149, 2): 1})
     level = lambda b: 1 + ((b * reading.BIN - 10) >= low) + ((b * reading.BIN - 10) >= high)
