@@ -1,26 +1,23 @@
 """Held-out test passages inside a corpus, by latent semantic retrieval.
 
-* Only words of the test items can be shared with them, so a document is reduced
-  to its maximal runs of such words that are at least ``SPAN`` words long; each
-  position of a run begins a passage of ``SPAN`` words. Nothing else can hold a
-  leak of ``SPAN`` consecutive words. Item passages begin at every word.
-* A paraphrase may hold other words too. Where fewer than ``SPAN`` words need be
-  shared, every ``SPAN`` consecutive words of which at least ``least`` are item
-  words are a passage; the others are one reserved number without weight.
-* Passages are TF-IDF vectors; document frequencies are counted over all
-  documents. Their Gram matrix is added up over the cluster (its size is bounded
-  by the items' vocabulary), and a randomised range finder with power iterations
-  takes its leading eigenvectors: the right singular vectors of all passages.
-* Passages are projected, and each corpus passage is compared with all item
-  passages, in blocks, by cosine. Equal passages have equal projections whatever
-  the rank, so a threshold just under 1 loses none of them; lower thresholds find
-  paraphrases. Passages without any projection are compared among themselves.
-* Candidates are checked: for leaks the words must be the same in the same order;
+* A passage is ``SPAN`` words in a row. Item passages begin at every word. Only words of the items can be shared with
+  them, so of a document those passages count that hold at least ``least`` item words; the others in
+  them are one reserved number without weight. The corpus is read once, and its passages are stored.
+* Passages are TF-IDF vectors over the items' vocabulary; document frequencies are counted over all documents.
+  A randomised singular value decomposition of all passages gives the latent space: the tasks multiply the
+  passage matrix, and its transpose, with a narrow block of vectors and add up their parts over the cluster; only
+  blocks of ``LATENT_WORDS`` times ``RANK + EXTRA`` numbers, a fixed bound, pass the driver, which makes them orthogonal.
+* Item passages are indexed by random hyperplanes in the latent space: in each of several tables a passage falls
+  into the bucket of its signs. The number of bits follows the number of item passages, and the number of tables
+  is what finds a passage at the wanted cosine with probability ``RECALL``. Corpus passages look up their buckets, so no passage is compared
+  with all others. The signs are those of whole numbers, computed exactly, so equal passages always share a bucket.
+* Candidates at the wanted cosine are checked: for leaks the words must be the same in the same order;
   for paraphrases the longest common subsequence must reach ``least`` words and
   hold the item passage's most telling word (the answer check).
 
-Items are a stated test set; they are worked on in blocks of at most
-``BLOCK_WORDS`` words, so what is broadcast stays bounded.
+The items are a stated test set: their vocabulary and passages are sent to the tasks, passages in blocks of at
+most ``BLOCK_PASSAGES``. Vocabulary, weights and latent space are those of all items, so blocks
+don't change what is found. Words beyond ``LATENT_WORDS`` share their latent vectors with others; the checks compare words.
 
 Defined results: null, empty and short texts hold nothing; items under ``SPAN``
 words leak nowhere; repeated documents and items count once; two items with
@@ -36,8 +33,10 @@ from pyspark.sql import functions as F
 from placewright.plans.cut import cut
 
 SPAN = 8
-BLOCK_WORDS = 100_000
-RANK = 64
+BLOCK_PASSAGES = 500_000
+LATENT_WORDS = 200_000
+RANK, EXTRA, POWERS = 48, 8, 2
+RECALL = 0.97
 EXACT = 0.999
 
 
@@ -66,7 +65,10 @@ def _reader():
 
 
 class Items:
-    """A block of test items as numbers: the vocabulary, and every passage's words and item."""
+    """The test items as numbers: the vocabulary, and every distinct passage's words and items.
+
+    ``words`` has the passages; the items of passage p are ``item[first[p]:first[p + 1]]``.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         import numpy as np
@@ -74,9 +76,18 @@ class Items:
         read = _reader()
         texts = [(i, words) for i, t in rows for words in read(t or "") if len(words) >= SPAN]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in texts for w in words}))}
-        passages = sorted({(i, *(self.vocabulary[w] for w in words[k : k + SPAN])) for i, words in texts for k in range(len(words) - SPAN + 1)})
+        passages = sorted({(*(self.vocabulary[w] for w in words[k : k + SPAN]), i) for i, words in texts for k in range(len(words) - SPAN + 1)})
         table = np.array(passages, dtype=np.int64).reshape(-1, SPAN + 1)
-        self.item, self.words = table[:, 0], table[:, 1:].astype(np.int32)
+        new = np.ones(len(table), dtype=bool)
+        new[1:] = (table[1:, :SPAN] != table[:-1, :SPAN]).any(axis=1)
+        self.words, self.item = table[new, :SPAN].astype(np.int32), table[:, SPAN]
+        self.first = np.r_[np.flatnonzero(new), len(table)]
+
+    def blocks(self, size: int):
+        """(words, item, first) of at most ``size`` passages each."""
+        for begin in range(0, len(self.words), size):
+            first = self.first[begin : begin + size + 1]
+            yield self.words[begin : begin + size], self.item[first[0] : first[-1]], first - first[0]
 
 
 def stretches(words: list, least: int, other: int) -> list[list[int]]:
@@ -145,55 +156,83 @@ def _passages(lists):
     return np.concatenate(parts), np.concatenate(rows)
 
 
-def _products(words, n: int):
-    """Numbers i * n + j of the passages' pairs of words (i <= j), and how often each occurs."""
+def _gathered(words, table):
+    """The sum of the table's rows of each passage's words."""
+    x = table[words[:, 0]].copy()
+    for g in range(1, SPAN):
+        x += table[words[:, g]]
+    return x
+
+
+def _scattered(words, x, n: int):
+    """The transposed product: row w is the sum of ``x`` over the passages' places with word w."""
     import numpy as np
 
-    i, j = np.triu_indices(SPAN)
-    a, b = words[:, i].astype(np.int64), words[:, j].astype(np.int64)
-    weight = np.broadcast_to(np.where(i == j, 1.0, 2.0), a.shape)
-    # a word met twice in a passage adds both cross products to its own square
-    cell, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
-    return cell, np.bincount(at.ravel(), weights=np.where(a == b, weight, weight / 2).ravel(), minlength=len(cell))
+    out = np.zeros((n, x.shape[1]))
+    flat = words.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, dtype=int)
+    if len(first):
+        out[flat[first]] = np.add.reduceat(x[order // SPAN], first)
+    return out
 
 
-def gram(found: DataFrame, n: int):
-    """Pairs of words and their products over all corpus passages: cells ``i * n + j`` and counts, at most n * (n + 1) / 2."""
+def passages_squared(found: DataFrame, idf, block):
+    """``A.T @ (A @ block)`` over all corpus passages, A their TF-IDF matrix: each task adds up its own part, parts are added by rows over the cluster."""
+    import numpy as np
 
-    def add(batches: Iterator) -> Iterator:
+    n, width = block.shape
+    shared = found.sparkSession.sparkContext.broadcast((idf.astype(np.float32), (idf[:, None] * block).astype(np.float32)))
+    step = 256
+
+    def multiply(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        idf, table = shared.value
+        total = None
         for batch in batches:
             words, _ = _passages(batch.column(0))
-            for begin in range(0, len(words), 50_000):
-                cell, count = _products(words[begin : begin + 50_000], n)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count.astype(np.float64))], names=["cell", "x"])
+            for begin in range(0, len(words), 20_000):
+                part = words[begin : begin + 20_000] % len(idf)
+                own = _scattered(part, _gathered(part, table), len(idf))
+                total = own if total is None else total + own
+        if total is not None:
+            total = (total * idf[:, None]).astype(np.float32)
+            at = [k for k in range(0, len(total), step) if total[k : k + step].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[k : k + step].tobytes() for k in at], pa.binary())], names=["at", "x"])
+
+    def add(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(x, dtype=np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["at", "x"])
 
-    return found.where(F.size("runs") > 0).select("runs").mapInArrow(add, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    parts = found.where(F.size("runs") > 0).select("runs").mapInArrow(multiply, "at int, x binary")
+    out = np.zeros((n, width))
+    for row in parts.repartition("at").mapInArrow(add, "at int, x binary").collect():
+        x = np.frombuffer(row.x, dtype=np.float32).reshape(-1, width)
+        out[row.at : row.at + len(x)] += x
+    return out
 
 
-def latent_terms(cells, counts, idf, rank: int = RANK, extra: int = 16, powers: int = 2):
-    """Each word's vector in the latent space: idf times the leading eigenvectors of the weighted Gram matrix."""
+def latent_terms(found: DataFrame, own, idf, rank: int = RANK, extra: int = EXTRA, powers: int = POWERS):
+    """Each word's vector in the latent space of all passages (the corpus's and the items' ``own``): idf times the leading right singular vectors."""
     import numpy as np
 
     n = len(idf)
-    i, j = cells // n, cells % n
-    off = i != j
-    row, col = np.concatenate([i, j[off]]), np.concatenate([j, i[off]])
-    value = np.concatenate([counts, counts[off]]) * idf[row] * idf[col]
-    order = np.argsort(row, kind="stable")
-    row, col, value = row[order], col[order], value[order]
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, dtype=int)
-
-    def times(x):
-        y = np.zeros_like(x)
-        if len(row):
-            for part in np.array_split(np.arange(x.shape[1]), max(1, x.shape[1] // 8)):
-                y[np.ix_(row[first], part)] = np.add.reduceat(value[:, None] * x[np.ix_(col, part)], first)
-        return y
-
-    q, _ = np.linalg.qr(times(np.random.default_rng(7).standard_normal((n, min(n, rank + extra)))))
+
+    def times(block):
+        folded = own % n
+        mine = idf[:, None] * _scattered(folded, _gathered(folded, idf[:, None] * block), n)
+        return mine + passages_squared(found, idf, block)
+
+    q, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(n, rank + extra))))
     for _ in range(powers):
         q, _ = np.linalg.qr(times(q))
     _, u = np.linalg.eigh(q.T @ times(q))
@@ -204,9 +243,7 @@ def _project(words, terms):
     """Unit vectors of passages; rows of zeros where nothing is left of a passage."""
     import numpy as np
 
-    x = terms[words[:, 0]].copy()
-    for g in range(1, SPAN):
-        x += terms[words[:, g]]
+    x = _gathered(words % len(terms), terms)
     size = np.linalg.norm(x, axis=1, keepdims=True)
     none = size[:, 0] < 1e-9
     x /= np.where(none[:, None], 1, size)
@@ -214,6 +251,30 @@ def _project(words, terms):
     return x, none
 
 
+class Buckets:
+    """Random-projection buckets: for each table a number of ``bits`` signs."""
+
+    def __init__(self, terms, passages: int, cosine: float):
+        import math
+
+        import numpy as np
+
+        self.bits = max(1, min(30, math.ceil(math.log2(passages + 1))))
+        same = (1 - math.acos(min(1.0, cosine)) / math.pi) ** self.bits
+        self.tables = 1 if cosine >= EXACT else max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)))
+        # whole numbers, whose sums are exact in whatever order they are added
+        scale = 2.0**20 / max(float(np.abs(terms).max(initial=0)), 1e-12)
+        self.terms = np.rint(terms.astype(np.float64) * scale)
+        self.planes = np.random.default_rng(11).choice([-1.0, 1.0], size=(terms.shape[1], self.bits * self.tables))
+
+    def codes(self, words):
+        """The bucket of each passage in each table."""
+        import numpy as np
+
+        sides = (_gathered(words % len(self.terms), self.terms) @ self.planes >= 0).reshape(len(words), self.tables, self.bits)
+        return sides @ (1 << np.arange(self.bits, dtype=np.int64))
+
+
 def _common(a, b):
     """Length of the longest common subsequence of each pair of rows."""
     import numpy as np
@@ -226,37 +287,66 @@ def _common(a, b):
     return best[:, SPAN]
 
 
-def search(found: DataFrame, items: Items, terms, idf, cosine: float, least: int) -> DataFrame:
+def candidates(theirs, their_codes, x, none, mine, order, codes, y, mine_none, cosine: float):
+    """Pairs (passage, item passage, cosine) that share a bucket and reach the cosine, each once, in portions."""
+    import numpy as np
+
+    seen = []
+    for t in range(their_codes.shape[1]):
+        begin, end = np.searchsorted(codes[t], their_codes[:, t], "left"), np.searchsorted(codes[t], their_codes[:, t], "right")
+        width = end - begin
+        ends, at = np.cumsum(width), 0
+        while at < len(theirs):
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + 500_000, "right")))
+            w = width[at:stop]
+            total = int(w.sum())
+            if total:
+                p = np.repeat(np.arange(at, stop), w)
+                m = order[t][np.arange(total) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[at:stop], w)]
+                near = np.einsum("ij,ij->i", x[p], y[m])
+                near[none[p] & mine_none[m]] = 1
+                ok = near >= cosine
+                seen.append(np.stack([p[ok] * len(mine) + m[ok]]))
+            at = stop
+    pairs = np.unique(np.concatenate(seen, axis=1)[0]) if seen else np.empty(0, dtype=np.int64)
+    return pairs // max(1, len(mine)), pairs % max(1, len(mine))
+
+
+def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> DataFrame:
     """``k``, ``item_id``, ``lcs``, ``cosine`` of each document and item with a checked passage (the best of it)."""
     sc = found.sparkSession.sparkContext
-    shared = sc.broadcast((items.item, items.words, terms, idf))
+    shared = sc.broadcast((*block, terms, idf))
     kind = dict(found.dtypes)["k"]
 
     def look(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        item, words, terms, idf = shared.value
+        words, item, first, terms, idf = shared.value
+        buckets = Buckets(terms, len(words), cosine)
+        own = buckets.codes(words)
+        order = [np.argsort(own[:, t], kind="stable") for t in range(buckets.tables)]
+        codes = [own[order[t], t] for t in range(buckets.tables)]
         mine, mine_none = _project(words, terms)
         telling = words[np.arange(len(words)), np.argmax(idf[words], axis=1)]
-        step = max(64, 8_000_000 // max(1, len(words)))
         for batch in batches:
             theirs, row = _passages(batch.column(1))
             best: dict = {}
-            for begin in range(0, len(theirs), step):
-                part = theirs[begin : begin + step]
+            for begin in range(0, len(theirs), 20_000):
+                part = theirs[begin : begin + 20_000]
                 x, none = _project(part, terms)
-                near = x @ mine.T
-                near[np.ix_(none, mine_none)] = 1
-                p, m = np.nonzero(near >= cosine)
+                p, m = candidates(part, buckets.codes(part), x, none, words, order, codes, mine, mine_none, cosine)
                 if least >= SPAN:
                     ok = (part[p] == words[m]).all(axis=1)
                     length = np.full(len(p), SPAN)
                 else:
                     length = _common(part[p], words[m])
                     ok = (length >= least) & (part[p] == telling[m][:, None]).any(axis=1)
-                for r, i, n, c in zip(row[begin + p[ok]].tolist(), item[m[ok]].tolist(), length[ok].tolist(), near[p, m][ok].tolist(), strict=True):
-                    best[r, i] = max(best.get((r, i), (0, 0.0)), (n, c))
+                near = np.einsum("ij,ij->i", x[p], mine[m])
+                for r, q, n, c in zip(row[begin + p[ok]].tolist(), m[ok].tolist(), length[ok].tolist(), near[ok].tolist(), strict=True):
+                    for i in item[first[q] : first[q + 1]].tolist():
+                        best[r, i] = max(best.get((r, i), (0, 0.0)), (n, c))
             if best:
                 at = sorted(best)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in at])), pa.array([i for _, i in at], pa.int64()), pa.array([best[x][0] for x in at], pa.int32()), pa.array([float(best[x][1]) for x in at])], names=["k", "item_id", "lcs", "cosine"])
@@ -270,27 +360,23 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     spark = documents.sparkSession
     known = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).distinct()
-    size = known.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 + size // (BLOCK_WORDS * 6)
-    n_docs = documents.count()
+    mine = Items([(r.i, r.t) for r in known.collect()])  # the stated test set
     out = None
-    for b in range(blocks):
-        mine = Items([(r.i, r.t) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()])
-        n = len(mine.vocabulary) + (least < SPAN)  # the last for foreign words
-        if not len(mine.item):
-            continue
+    if len(mine.item):
+        n = len(mine.vocabulary) + 1  # the last for words of no item
         found = cut(runs(documents, key, text, mine.vocabulary, least))
         df = np.zeros(n)
-        counted = found.select(F.explode("terms").alias("w")).groupBy("w").count().toArrow()
+        counted = found.select(F.explode("terms").alias("w")).groupBy("w").count().toArrow()  # at most the items' vocabulary
         df[counted.column("w").to_numpy()] = counted.column("count").to_numpy()
-        idf = np.log((1 + n_docs) / (1 + df)) + 1
-        idf[len(mine.vocabulary) :] = 0
-        summed = gram(found, n)
-        own, own_count = _products(mine.words, n)
-        cells, at = np.unique(np.concatenate([summed.column("cell").to_numpy(), own]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([summed.column("x").to_numpy(), own_count]), minlength=len(cells))
-        got = search(found, mine, latent_terms(cells, counts, idf), idf.astype(np.float32), cosine, least)
-        out = got if out is None else out.unionByName(got)
+        idf = np.log((1 + documents.count()) / (1 + df)) + 1
+        idf[-1] = 0
+        latent = idf[:LATENT_WORDS].copy()
+        if n > LATENT_WORDS:
+            latent[(n - 1) % LATENT_WORDS] = 0  # what shares the row of foreign words has no weight either
+        terms = latent_terms(found, mine.words, latent)
+        for block in mine.blocks(BLOCK_PASSAGES):
+            got = search(found, block, terms, idf.astype(np.float32), cosine, least)
+            out = got if out is None else out.unionByName(got)
     if out is None:
         out = spark.createDataFrame([], f"k {dict(documents.dtypes)[key]}, item_id bigint, lcs int, cosine double")
     return out.groupBy("k", "item_id").agg(F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine")).withColumnRenamed("k", key)
