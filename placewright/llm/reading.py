@@ -64,25 +64,35 @@ def breaker(patterns: str):
         for letters in product(*(kinds[c] if mixed and c in kinds else c for _, c in parts)):
             old = levels.get("".join(letters), digits)
             levels["".join(letters)] = [max(a, b) for a, b in zip(old, digits, strict=True)]
-    longest = max(map(len, levels))
-    vowels = set(VOWELS)
+    begins = {w[:n] for w in levels for n in range(1, len(w) + 1)}
     kind_of = str.maketrans({**dict.fromkeys(VOWELS, "V"), **dict.fromkeys(CONSONANTS, "C")})
+    shapes: dict[str, list] = {}
+
+    def fit(form: str, best: list) -> list:
+        size = len(form)
+        for i in range(size):
+            n = i + 1
+            while n <= size and (w := form[i:n]) in begins:
+                found = levels.get(w)
+                if found:
+                    for k, d in enumerate(found, i):
+                        if d > best[k]:
+                            best[k] = d
+                n += 1
+        return best
 
     def syllables(word: str) -> int:
-        sounded = [i for i, c in enumerate(word, 1) if c in vowels]
-        if not sounded:
+        shape = f".{word.translate(kind_of)}."
+        first, last = shape.find("V"), shape.rfind("V")
+        if first < 0:
             return 1
-        plain = f".{word}."
-        best = [0] * len(plain)
-        for form in (plain, plain.translate(kind_of)):
-            for i in range(len(form)):
-                for n in range(i + 2, min(i + longest, len(form)) + 1):
-                    found = levels.get(form[i:n])
-                    if found:
-                        for k, d in enumerate(found, i):
-                            if d > best[k]:
-                                best[k] = d
-        return 1 + sum(d & 1 for d in best[sounded[0] + 1 : sounded[-1] + 1])
+        best = shapes.get(shape)
+        if best is None:
+            if len(shapes) > 100_000:
+                shapes.clear()
+            best = shapes[shape] = fit(shape, [0] * len(shape))
+        best = fit(f".{word}.", best.copy())
+        return 1 + sum(d & 1 for d in best[first + 1 : last + 1])
 
     return syllables
 
@@ -100,14 +110,13 @@ def _measurer():
     broken = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
     wrong = re.compile("[\u0080-\U0010ffff]+")
     bullet = re.compile(r"^[ \t]*[-*•] ", re.M)
-    item = re.compile(r"\s*[\r\n]+\s*(?:[-*•] +|(?=[A-ZÀ-ÖØ-Þ]))")
+    item = re.compile(r"[\r\n]+\s*(?:[-*•] +|(?=[A-ZÀ-ÖØ-Þ]))")
     blank = re.compile(r"(?:\r?\n[ \t]*){2,}")
     decimal = re.compile(r"(?<=\d)[.,:](?=\d)")
     title = re.compile(r"\b(M|Mme|Mr|Mrs|Dr|St|No)\.")
     sentence = re.compile(r"[^\W_][^.!?…]*")
     word = re.compile(r"[^\W_]+")
-    split = (breaker(FRENCH_PATTERNS), breaker(ENGLISH_PATTERNS))
-    marks = [set(FRENCH.split()), set(ENGLISH.split())]
+    french, english = set(FRENCH.split()), set(ENGLISH.split())
 
     def mended(m):
         try:
@@ -118,8 +127,8 @@ def _measurer():
     class Words(dict):
         """From a word to its row of ``features``."""
 
-        def __init__(self):
-            self.features = np.zeros((1024, 9), dtype=np.int32)
+        def __init__(self, syllables):
+            self.syllables, self.features = syllables, np.zeros((1024, 6), dtype=np.int32)
 
         def __missing__(self, w):
             n = self[w] = len(self)
@@ -127,18 +136,18 @@ def _measurer():
                 self.features = np.concatenate([self.features, np.zeros_like(self.features)])
             letters = sum(c.isalpha() for c in w)
             if letters:
-                s = [f(w) for f in split]
-                self.features[n] = (1, 1, letters, letters > 6, *s, s[0] > 2, s[1] > 2, (w in marks[0]) - (w in marks[1]))
+                s = self.syllables(w)
+                self.features[n] = (1, 1, letters, letters > 6, s, s > 2)
             else:
                 self.features[n, 0] = 1
             return n
 
-    known = Words()
+    known = {"fr": Words(breaker(FRENCH_PATTERNS)), "en": Words(breaker(ENGLISH_PATTERNS))}
 
     def cleaned(text):
         t = tag.sub(" ", text) if "<" in text else text
         t = html.unescape(t) if "&" in t else t
-        if "Ã" in t or "Â" in t or "â" in t:
+        if "Ã" in t or "Â" in t or "â€" in t:
             t = wrong.sub(mended, t)
         if not t.isascii():
             t = unicodedata.normalize("NFC", invisible.sub("", t))
@@ -151,24 +160,31 @@ def _measurer():
             t = item.sub(" . ", t) if bullet.search(t) else blank.sub(" . ", t)
         return title.sub(r"\1", decimal.sub("", t))
 
-    def measure(texts):
-        """Of each text: sentences, and the sums of its words' features."""
-        flat, ends, sentences = [], [0], []
-        for text in texts:
-            if text:
-                t = cleaned(text)
-                sentences.append(len(sentence.findall(t)))
-                flat += word.findall(t.lower())
-            else:
-                sentences.append(0)
-            ends.append(len(flat))
-        rows = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sums = np.zeros((len(flat) + 1, 9), dtype=np.int64)
-        np.cumsum(known.features[rows], axis=0, out=sums[1:])
-        ends = np.array(ends)
-        if len(known) > 1_000_000:  # the memory starts anew; results don't depend on it
-            known.clear()
-        return np.array(sentences, dtype=np.int64), sums[ends[1:]] - sums[ends[:-1]]
+    def measure(texts, told):
+        """Of each text: its language (``told``, or by its commonest words), sentences, and the sums of its words' features."""
+        tongues, sentences = [], []
+        flat = {"fr": [], "en": []}
+        ends = {"fr": [0], "en": [0]}
+        for text, tongue in zip(texts, told, strict=True):
+            t = cleaned(text) if text else ""
+            words = word.findall(t.lower())
+            if tongue not in flat:
+                tongue = "fr" if sum(w in french for w in words) >= sum(w in english for w in words) else "en"
+            sentences.append(len(sentence.findall(t)))
+            tongues.append(tongue)
+            flat[tongue] += words
+            ends[tongue].append(len(flat[tongue]))
+        out = np.zeros((len(tongues), 6), dtype=np.int64)
+        for tongue, words in flat.items():
+            own = known[tongue]
+            rows = np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words))
+            sums = np.zeros((len(words) + 1, 6), dtype=np.int64)
+            np.cumsum(own.features[rows], axis=0, out=sums[1:])
+            at = np.array(ends[tongue])
+            out[np.array([x == tongue for x in tongues], dtype=bool)] = sums[at[1:]] - sums[at[:-1]]
+            if len(own) > 1_000_000:  # the memory starts anew; results don't depend on it
+                own.clear()
+        return tongues, np.array(sentences, dtype=np.int64), out
 
     return measure
 
@@ -187,11 +203,9 @@ def measures(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         measure = _measurer()
         for batch in batches:
             for part in (batch.slice(begin, 500) for begin in range(0, batch.num_rows, 500)):
-                sentences, f = measure(part.column(2).to_pylist())
                 told = [(x or "").strip().lower()[:2] for x in part.column(1).to_pylist()]
-                french = np.array([x == "fr" or (x != "en" and balance >= 0) for x, balance in zip(told, f[:, 8].tolist(), strict=True)], dtype=bool)
-                own = [f[:, 0], f[:, 1], f[:, 2], f[:, 3], np.where(french, f[:, 4], f[:, 5]), np.where(french, f[:, 6], f[:, 7]), np.maximum(sentences, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(french, "fr", "en"), pa.string()), *(pa.array(x.astype(np.int64)) for x in own)], names=["k", "tongue", *COUNTS])
+                tongues, sentences, f = measure(part.column(2).to_pylist(), told)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tongues, pa.string()), *(pa.array(f[:, c]) for c in range(6)), pa.array(np.maximum(sentences, 1))], names=["k", "tongue", *COUNTS])
 
     rows = df.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, f"k {kind}, tongue string, " + ", ".join(f"{c} bigint" for c in COUNTS)).withColumnRenamed("k", key)
