@@ -10,7 +10,8 @@
 * Item passages are indexed by random hyperplanes in the latent space: in each of several tables a passage falls
   into the bucket of its signs. The number of bits follows the number of item passages, and the number of tables
   is what finds a passage at the wanted cosine with probability ``RECALL``. Corpus passages look up their buckets, so no passage is compared
-  with all others. The signs are those of whole numbers, computed exactly, so equal passages always share a bucket.
+  with all others; ``SKETCH`` more signs tell most of those apart that only share a bucket. The signs are those of whole numbers, computed exactly, so equal passages
+  always share a bucket and all signs.
 * Candidates at the wanted cosine are checked: for leaks the words must be the same in the same order;
   for paraphrases the longest common subsequence must reach ``least`` words and
   hold the item passage's most telling word (the answer check).
@@ -37,6 +38,7 @@ BLOCK_PASSAGES = 500_000
 LATENT_WORDS = 200_000
 RANK, EXTRA, POWERS = 48, 8, 2
 RECALL = 0.97
+SKETCH = 256
 EXACT = 0.999
 
 
@@ -265,14 +267,20 @@ class Buckets:
         # whole numbers, whose sums are exact in whatever order they are added
         scale = 2.0**20 / max(float(np.abs(terms).max(initial=0)), 1e-12)
         self.terms = np.rint(terms.astype(np.float64) * scale)
-        self.planes = np.random.default_rng(11).choice([-1.0, 1.0], size=(terms.shape[1], self.bits * self.tables))
+        draw = np.random.default_rng(11)
+        self.planes = draw.choice([-1.0, 1.0], size=(terms.shape[1], self.bits * self.tables))
+        self.more = draw.choice([-1.0, 1.0], size=(terms.shape[1], SKETCH))
+        # of so many signs, this many differ between passages at the wanted cosine, and four deviations more
+        apart = math.acos(min(1.0, cosine)) / math.pi
+        self.most = {n: int(n * apart + 4 * math.sqrt(n * apart * (1 - apart))) for n in (64, SKETCH)}
 
     def codes(self, words):
-        """The bucket of each passage in each table."""
+        """The bucket of each passage in each table, and the signs that tell more."""
         import numpy as np
 
-        sides = (_gathered(words % len(self.terms), self.terms) @ self.planes >= 0).reshape(len(words), self.tables, self.bits)
-        return sides @ (1 << np.arange(self.bits, dtype=np.int64))
+        x = _gathered(words % len(self.terms), self.terms)
+        sides = (x @ self.planes >= 0).reshape(len(words), self.tables, self.bits)
+        return sides @ (1 << np.arange(self.bits, dtype=np.int64)), np.ascontiguousarray(np.packbits(x @ self.more >= 0, axis=1).view(np.uint64).T)
 
 
 def _common(a, b):
@@ -287,30 +295,52 @@ def _common(a, b):
     return best[:, SPAN]
 
 
-def candidates(theirs, their_codes, x, none, mine, order, codes, y, mine_none, cosine: float):
-    """Pairs (passage, item passage, cosine) that share a bucket and reach the cosine, each once, in portions."""
-    import numpy as np
+class Index:
+    """The item passages by bucket."""
+
+    def __init__(self, words, terms, cosine: float):
+        import numpy as np
+
+        self.cosine, self.terms, self.buckets = cosine, terms, Buckets(terms, len(words), cosine)
+        codes, self.signs = self.buckets.codes(words)
+        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(self.buckets.tables)]
+        self.codes = [codes[o, t] for t, o in enumerate(self.order)]
+        self.vectors, self.none = _project(words, terms)
+
+    def near(self, words):
+        """Pairs (passage of ``words``, item passage) that share a bucket and reach the cosine, each once, and their cosines."""
+        import numpy as np
 
-    seen = []
-    for t in range(their_codes.shape[1]):
-        begin, end = np.searchsorted(codes[t], their_codes[:, t], "left"), np.searchsorted(codes[t], their_codes[:, t], "right")
-        width = end - begin
-        ends, at = np.cumsum(width), 0
-        while at < len(theirs):
-            base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + 500_000, "right")))
-            w = width[at:stop]
-            total = int(w.sum())
-            if total:
-                p = np.repeat(np.arange(at, stop), w)
-                m = order[t][np.arange(total) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[at:stop], w)]
-                near = np.einsum("ij,ij->i", x[p], y[m])
-                near[none[p] & mine_none[m]] = 1
-                ok = near >= cosine
-                seen.append(np.stack([p[ok] * len(mine) + m[ok]]))
-            at = stop
-    pairs = np.unique(np.concatenate(seen, axis=1)[0]) if seen else np.empty(0, dtype=np.int64)
-    return pairs // max(1, len(mine)), pairs % max(1, len(mine))
+        codes, signs = self.buckets.codes(words)
+        x, none = _project(words, self.terms)
+        size = max(1, len(self.none))
+        seen = [np.empty(0, dtype=np.int64)]
+        for t in range(self.buckets.tables):
+            begin, end = (np.searchsorted(self.codes[t], codes[:, t], side) for side in ("left", "right"))
+            width = end - begin
+            ends, at = np.cumsum(width), 0
+            while at < len(words):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
+                w = width[at:stop]
+                total = int(w.sum())
+                if total:
+                    p = np.repeat(np.arange(at, stop), w)
+                    m = self.order[t][np.arange(total) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[at:stop], w)]
+                    differ = np.bitwise_count(signs[0][p] ^ self.signs[0][m])
+                    alike = differ <= self.buckets.most[64]
+                    p, m, differ = p[alike], m[alike], differ[alike].astype(np.int16)
+                    for mine, other in zip(signs[1:], self.signs[1:], strict=True):
+                        differ += np.bitwise_count(mine[p] ^ other[m])
+                    alike = differ <= self.buckets.most[SKETCH]
+                    seen.append(p[alike] * size + m[alike])
+                at = stop
+        pairs = np.sort(np.concatenate(seen))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        p, m = pairs // size, pairs % size
+        cosines = np.concatenate([np.empty(0, dtype=np.float32), *(np.einsum("ij,ij->i", x[p[k : k + 500_000]], self.vectors[m[k : k + 500_000]]) for k in range(0, len(p), 500_000))])
+        cosines[none[p] & self.none[m]] = 1
+        ok = cosines >= self.cosine
+        return p[ok], m[ok], cosines[ok]
 
 
 def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> DataFrame:
@@ -324,26 +354,22 @@ def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> Da
         import pyarrow as pa
 
         words, item, first, terms, idf = shared.value
-        buckets = Buckets(terms, len(words), cosine)
-        own = buckets.codes(words)
-        order = [np.argsort(own[:, t], kind="stable") for t in range(buckets.tables)]
-        codes = [own[order[t], t] for t in range(buckets.tables)]
-        mine, mine_none = _project(words, terms)
+        index = Index(words, terms, cosine)
         telling = words[np.arange(len(words)), np.argmax(idf[words], axis=1)]
         for batch in batches:
             theirs, row = _passages(batch.column(1))
             best: dict = {}
-            for begin in range(0, len(theirs), 20_000):
-                part = theirs[begin : begin + 20_000]
-                x, none = _project(part, terms)
-                p, m = candidates(part, buckets.codes(part), x, none, words, order, codes, mine, mine_none, cosine)
+            for begin in range(0, len(theirs), 5_000):
+                part = theirs[begin : begin + 5_000]
+                p, m, near = index.near(part)
                 if least >= SPAN:
                     ok = (part[p] == words[m]).all(axis=1)
                     length = np.full(len(p), SPAN)
                 else:
+                    telltale = (part[p] == telling[m][:, None]).any(axis=1)
+                    p, m, near = p[telltale], m[telltale], near[telltale]
                     length = _common(part[p], words[m])
-                    ok = (length >= least) & (part[p] == telling[m][:, None]).any(axis=1)
-                near = np.einsum("ij,ij->i", x[p], mine[m])
+                    ok = length >= least
                 for r, q, n, c in zip(row[begin + p[ok]].tolist(), m[ok].tolist(), length[ok].tolist(), near[ok].tolist(), strict=True):
                     for i in item[first[q] : first[q + 1]].tolist():
                         best[r, i] = max(best.get((r, i), (0, 0.0)), (n, c))

@@ -123,11 +123,8 @@ def test_buckets_find_what_brute_force_finds(spark):
         row[rng.integers(0, leaks.SPAN, rng.integers(0, 3))] = rng.integers(0, n, 1)
     terms = rng.standard_normal((n, 32)).astype(np.float32)
     for cosine in (0.8, leaks.EXACT):
-        buckets = leaks.Buckets(terms, len(words), cosine)
-        own = buckets.codes(words)
-        order = [np.argsort(own[:, t], kind="stable") for t in range(buckets.tables)]
-        (x, none), (y, other) = leaks._project(theirs, terms), leaks._project(words, terms)
-        p, m = leaks.candidates(theirs, buckets.codes(theirs), x, none, words, order, [own[o, t] for t, o in enumerate(order)], y, other, cosine)
+        x, y = leaks._project(theirs, terms)[0], leaks._project(words, terms)[0]
+        p, m, _ = leaks.Index(words, terms, cosine).near(theirs)
         want = np.argwhere(x @ y.T >= cosine)
         found = set(zip(p.tolist(), m.tolist(), strict=True))
         assert found <= set(map(tuple, want.tolist())) and len(found) == len(p)
