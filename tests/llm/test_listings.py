@@ -65,17 +65,40 @@ def test_near_duplicates_equal_brute_force(spark, root):
     assert {tuple(r) for r in q.p4_found(spark, root).collect()} == _brute(rows)
 
 
-@pytest.mark.parametrize(("cold", "seed"), [(0, 1), (1, 2), (3, 3), (1000, 4)])
-def test_near_duplicates_hot_words(spark, cold, seed):
+@pytest.mark.parametrize(("cold", "seed", "how"), [(1, 1, {}), (1, 2, {"n_gram": 3}), (3, 3, {"longest": 5}), (1000, 4, {}), (1, 5, {"n_gram": 1}), (2, 6, {"hot_words": 2}), (1, 7, {"longest": 7, "n_gram": 4})])
+def test_near_duplicates_hot_words(spark, cold, seed, how):
     random.seed(seed)
     rows = [(f"i{k}", " ".join(random.sample("a b c d e f g h i j k l".split(), random.randint(1, 12))), None, random.choice([None, "http://www.a.b/c?d#e", "HTTPS://x.y"])) for k in range(120)]
     rows += [("n1", None, None, None), ("n2", " ", "", None), (None, "a b", None, None), ("i3", "z", None, None), ("u1", "Éte à", None, None), ("u2", "ete a", None, None), rows[0]]
     df = spark.createDataFrame(rows, "id string, name string, description string, website string").withColumn("toks", F.lit(0))
     words = near_dup.columns_as_words(df, "id", F.col("name"), F.col("description"), near_dup.bare_site(F.col("website")))
-    got = [tuple(r) for r in near_dup.near_duplicate_pairs(words, cold=cold, sketch_bits=10).collect()]
+    got = [tuple(r) for r in near_dup.near_duplicate_pairs(words, cold=cold, sketch_bits=10, **how).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(rows)
 
 
+def test_other_thresholds_equal_brute_force(spark):
+    random.seed(9)
+    sets = sorted({tuple(sorted(random.sample(range(14), random.randint(1, 9)))) for _ in range(90)})
+    df = spark.createDataFrame([(f"{k:03}", list(w)) for k, w in enumerate(sets)], "id string, toks array<bigint>")
+    for num, den in ((1, 5), (1, 2), (4, 5)):
+        want = {(f"{i:03}", f"{j:03}") for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and den * len({*a} & {*b}) >= num * len({*a} | {*b})}
+        assert {tuple(r) for r in near_dup.near_duplicate_pairs(df, cold=5, num=num, den=den).collect()} == want
+
+
+def test_long_and_short_sets_meet(spark):
+    long = list(range(1000))
+    rows = [("a", long), ("b", long[100:]), ("c", [*long[:300], *range(5000, 5700)]), ("d", long[:100]), ("e", long[:70]), ("f", long[:61]), ("g", long[:60]), ("h", long[:59]), *((f"x{k}", [k % 1000, 9000 + k]) for k in range(3000))]
+    df = spark.createDataFrame(rows, "id string, toks array<bigint>")
+    got = {tuple(r) for r in near_dup.near_duplicate_pairs(df, cold=2).collect()}
+    assert got == {("a", "b"), ("d", "e"), ("d", "f"), ("d", "g"), ("e", "f"), ("e", "g"), ("e", "h"), ("f", "g"), ("f", "h"), ("g", "h")}
+
+
+def test_sets_with_one_hash_stay_apart(spark):
+    sets = spark.createDataFrame([(1, 1, [1, 2, 3]), (1, 2, [7, 8, 9, 10, 11]), (2, 3, [1, 2, 3, 4]), (3, 4, [7, 8, 9, 10])], "sid long, sid2 long, toks array<bigint>")
+    got = sorted(tuple(r)[:4] for r in near_dup.similar_sets(sets, cold=1).collect())
+    assert got == [(1, 1, 2, 3), (3, 4, 1, 2)]
+
+
 def test_near_duplicates_empty(spark):
     empty = spark.createDataFrame([], "id string, toks array<bigint>")
     assert near_dup.near_duplicate_pairs(empty).count() == 0
