@@ -116,3 +116,55 @@ def test_resolved_addresses(spark):
     df = spark.createDataFrame([("a", "3, r. du Gal Vouglaibor", "01234", "Trelmouville"), ("b", "3 Rue du Général Vouglaibor", None, "TRELMOUVILLE")], PLACE)
     got = addresses.resolved(df).collect()
     assert {(r.place, r.number, r.suffix, r.name, r.kind, r.title) for r in got} == {("trelmouville", 3, "", "vouglaibor", "rue", "general")} and len(got) == 2
+
+
+def test_short_street_names(spark):
+    rows = [(f"f{i}", f"{i + 1} Rue Foche", "01234", "Vouglai") for i in range(30)] + [("x", "12 Rue Fouche", "01234", "Vouglai"), ("y", "14 Rue Foceh", "01234", "Vouglai"), ("z", "3 Rue Roche", "01234", "Vouglai")]
+    rows += [(f"m{i}", f"{i + 1} Rue Mare", "01234", "Vouglai") for i in range(9)] + [(f"g{i}", f"{i + 1} Rue Gare", "01234", "Vouglai") for i in range(8)]
+    got = {tuple(r) for r in addresses.matches(spark.createDataFrame(rows, PLACE)).collect()}
+    assert got == {("f11", "x"), ("f13", "y"), ("f2", "z")}
+
+
+def _apart(a, b):
+    """Edit distance with swaps of neighbours."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def _edited(w, edits):
+    for _ in range(edits):
+        i, c = random.randrange(len(w)), random.choice("abcd")
+        w = random.choice([w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+    return w
+
+
+def test_windows_hold_all_near_spellings(spark):
+    random.seed(6)
+    right = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 14))) for _ in range(60)]
+    count = {w: 1000 + k for k, w in enumerate(right)}
+    for w in right * 6:
+        count.setdefault(_edited(w, 1), random.randint(1, 3))
+    count = {w: n for w, n in count.items() if w}
+    df = spark.createDataFrame([("g", w, n, 5, 5) for w, n in count.items()], "g string, w string, n int, few int, ratio int")
+    got = {r.w: r.right for r in addresses.respelled(df).collect()}
+    best = {}
+    for w, n in count.items():
+        near = [(m, v) for v, m in count.items() if v != w and min(len(v), len(w)) >= 3 and _apart(v, w) == 1 and m >= (10 if min(len(v), len(w)) < 6 else 1) * n and (m, v) > (n, w)]
+        if near:
+            best[w] = max(near)[1]
+    assert got == {w: best.get(v, v) for w, v in best.items()} and len(got) > 200
+
+
+def test_two_edits_at_a_number(spark):
+    random.seed(7)
+    right = ["".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(8, 16))) for _ in range(150)]
+    wrong = [_edited(w, 2) for w in right]
+    rows = [("p", k, "", w, "rue", "", n, 1) for k, (a, b) in enumerate(zip(right, wrong, strict=True)) for w, n in ((a, 9), (b, 1)) if a != b]
+    columns = ", ".join(f"{c} {'int' if c == 'number' else 'string'}" for c in addresses.RECORD)
+    got = {r.number: r.own_name for r in addresses.settled(spark.createDataFrame(rows, f"{columns}, n int, street_n int")).where("name <> own_name").collect()}
+    assert got == {k: a for k, (a, b) in enumerate(zip(right, wrong, strict=True)) if a != b and min(len(a), len(b)) >= 8} | {k: a for k, (a, b) in enumerate(zip(right, wrong, strict=True)) if a != b and min(len(a), len(b)) < 8 and _apart(a, b) == 1}
