@@ -39,8 +39,8 @@ from placewright.plans.cut import cut
 #: Words in a hot prefix n-gram, and the longest sets that have them.
 N = 2
 LONG = 96
-#: Sets that a cold word is in, at most (more if hot words would be too many to send).
-COLD = 500
+#: Sets that a cold word is in, at most (more if hot words would be too many to send), which bounds the lists of single words.
+COLD = 1_000
 HOT_WORDS = 2_000_000
 SKETCH_BITS = 20
 
@@ -58,11 +58,11 @@ def word_set(*texts: Column) -> Column:
 
 
 def _suffix_bits(toks, first, size):
-    """For each word of sets in order, two halves of a signature of the words behind it in its set."""
+    """For each word of sets in order, a signature of the words behind it in its set: a bit for each."""
     import numpy as np
 
-    bit, half = np.left_shift(np.int64(1), toks & np.int64(63)), (toks >> np.int64(40)) & np.int64(1)
-    out = np.zeros((2, len(toks)), dtype=np.int64)
+    bit = np.left_shift(np.int64(1), toks & np.int64(63))
+    out = np.zeros(len(toks), dtype=np.int64)
     kind = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
     for k in np.unique(kind):  # sets of about the same length are one table
         sets = np.flatnonzero((kind == k) & (size > 0))
@@ -72,20 +72,19 @@ def _suffix_bits(toks, first, size):
         at = first[sets, None] + np.arange(width)
         own = np.arange(width) < size[sets, None]
         at = np.minimum(at, len(toks) - 1)
-        for x in (0, 1):
-            bits = np.where(own & (half[at] == x), bit[at], 0)
-            behind = np.zeros_like(bits)
-            behind[:, :-1] = np.bitwise_or.accumulate(bits[:, :0:-1], axis=1)[:, ::-1]
-            out[x, at[own]] = behind[own]
+        bits = np.where(own, bit[at], 0)
+        behind = np.zeros_like(bits)
+        behind[:, :-1] = np.bitwise_or.accumulate(bits[:, :0:-1], axis=1)[:, ::-1]
+        out[at[own]] = behind[own]
     return out
 
 
 def _prefixes(order, num: int, den: int, n_gram: int, longest: int):
-    """Postings of each set: key, sid, at, s1, s2.
+    """Postings of each set: key, sid, sid2, at, behind.
 
     ``at`` packs the set's length, the position of the key's first word among the words in order, and
-    whether the key also lies in the prefix that serves the shorter set of a pair. ``s1`` and ``s2``
-    are the signature of the words behind that position.
+    whether the key also lies in the prefix that serves the shorter set of a pair. ``behind``
+    is the signature of the words behind that position.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -122,8 +121,8 @@ def _prefixes(order, num: int, den: int, n_gram: int, longest: int):
 
         for batch in batches:
             for piece in (batch.slice(begin, 2_000) for begin in range(0, batch.num_rows, 2_000)):
-                sid = piece.column(0).to_numpy()
-                lists = piece.column(1)
+                sid, sid2 = (piece.column(c).to_numpy() for c in (0, 1))
+                lists = piece.column(2)
                 offsets = lists.offsets.to_numpy()
                 size = np.diff(offsets)
                 toks = lists.flatten().to_numpy()
@@ -152,7 +151,7 @@ def _prefixes(order, num: int, den: int, n_gram: int, longest: int):
                     key, who, at, short = (np.concatenate(x) for x in zip(*out[begin : begin + 50], strict=True))
                     packed = size[who].astype(np.int64) << np.int64(32) | at.astype(np.int64) << np.int64(1) | short.astype(np.int64)
                     place = first[who] + at
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), sid[who], packed, signs[0, place], signs[1, place])], names=["key", "sid", "at", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64), sid[who], sid2[who], packed, signs[place])], names=["key", "sid", "sid2", "at", "behind"])
 
     return run
 
@@ -181,8 +180,8 @@ def similar_sets(sets: DataFrame, rows: DataFrame | None = None, num: int = 3, d
     sets, and only makes the counts larger.
     """
     order = sets.sparkSession.sparkContext.broadcast(_order(sets if rows is None else rows, cold, hot_words, sketch_bits))
-    postings = sets.select("sid", "toks").mapInArrow(_prefixes(order, num, den, n_gram, longest), "key bigint, sid bigint, at bigint, s1 bigint, s2 bigint")
-    side = lambda s: [F.col("sid").alias(s), F.col("at").alias(f"at_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")]
+    postings = sets.select("sid", "sid2", "toks").mapInArrow(_prefixes(order, num, den, n_gram, longest), "key bigint, sid bigint, sid2 bigint, at bigint, behind bigint")
+    side = lambda s: [F.col("sid").alias(s), F.col("sid2").alias(f"{s}2"), F.col("at").alias(f"at_{s}"), F.col("behind").alias(f"behind_{s}")]
     one = postings.where(F.col("at").bitwiseAND(F.lit(1)) == 1).select("key", *side("a"))
     two = postings.select("key", *side("b"))
     # lengths and positions are unpacked after the shuffle
@@ -191,13 +190,13 @@ def similar_sets(sets: DataFrame, rows: DataFrame | None = None, num: int = 3, d
     enough = lambda o, n_a, n_b: o * (num + den) >= (n_a + n_b) * num
     rest_a, rest_b = n_a - pos_a - 1, n_b - pos_b - 1
     # a bit that only one set has stands for a word that only it has
-    lone = lambda x, y: sum(F.bit_count(F.col(f"{s}_{x}").bitwiseAND(F.bitwise_not(f"{s}_{y}"))) for s in ("s1", "s2"))
+    lone = lambda x, y: F.bit_count(F.col(f"behind_{x}").bitwiseAND(F.bitwise_not(f"behind_{y}")))
     behind = F.least(rest_a - lone("a", "b"), rest_b - lone("b", "a"))
-    ordered = (n_a < n_b) | ((n_a == n_b) & (F.col("a") < F.col("b")))
-    met = one.join(two, "key").where(ordered & (n_a * den >= n_b * num) & enough(1 + F.least(rest_a, rest_b), n_a, n_b) & enough(1 + behind, n_a, n_b))
-    pairs = met.select("a", "b").distinct()
+    first = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2")))
+    met = one.join(two, "key").where(((n_a < n_b) | ((n_a == n_b) & first)) & (n_a * den >= n_b * num) & enough(1 + F.least(rest_a, rest_b), n_a, n_b) & enough(1 + behind, n_a, n_b))
+    pairs = met.select("a", "a2", "b", "b2").distinct()
     mine = lambda s: sets.select(F.col("sid").alias(s), F.col("sid2").alias(f"{s}2"), F.col("toks").alias(f"toks_{s}"))
-    both = pairs.join(mine("a"), "a").join(mine("b"), "b")
+    both = pairs.join(mine("a"), ["a", "a2"]).join(mine("b"), ["b", "b2"])
     checked = both.select("a", "a2", "b", "b2", F.size("toks_a").alias("n_a"), F.size("toks_b").alias("n_b"), F.size(F.array_intersect("toks_a", "toks_b")).alias("shared"))
     return checked.where(enough(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "a2", "b", "b2", "shared", "n_a", "n_b")
 

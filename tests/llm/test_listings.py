@@ -94,9 +94,9 @@ def test_long_and_short_sets_meet(spark):
 
 
 def test_sets_with_one_hash_stay_apart(spark):
-    sets = spark.createDataFrame([(1, 1, [1, 2, 3]), (1, 2, [7, 8, 9, 10, 11]), (2, 3, [1, 2, 3, 4]), (3, 4, [7, 8, 9, 10])], "sid long, sid2 long, toks array<bigint>")
+    sets = spark.createDataFrame([(1, 1, [1, 2, 3]), (1, 2, [7, 8, 9, 10, 11]), (2, 3, [1, 2, 3, 4]), (3, 4, [7, 8, 9, 10]), (1, 5, [7, 8, 9, 10, 12])], "sid long, sid2 long, toks array<bigint>")
     got = sorted(tuple(r)[:4] for r in near_dup.similar_sets(sets, cold=1).collect())
-    assert got == [(1, 1, 2, 3), (3, 4, 1, 2)]
+    assert got == [(1, 1, 2, 3), (1, 2, 1, 5), (3, 4, 1, 2), (3, 4, 1, 5)]
 
 
 def test_near_duplicates_empty(spark):
