@@ -31,10 +31,25 @@ def try_iso_date(c: Column) -> Column:
 
 
 def try_clock(c: Column) -> Column:
-    """``HH:mm:ss`` from ``HH:mm:ss`` or ``HH:mm``; else null."""
+    """``HH:mm:ss`` from ``HH:mm:ss`` or ``HH:mm``, else from looser writings (``9:05``, ``9:05 PM``, a whole timestamp); else null."""
     s = strip(c)
     full = F.when(s.rlike(r"^\d{2}:\d{2}$"), F.concat(s, F.lit(":00"))).when(s.rlike(r"^\d{2}:\d{2}:\d{2}$"), s)
-    return F.when(full.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), full)
+    strict = F.when(full.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), full)
+    loose = F.coalesce(*(F.try_to_timestamp(F.upper(s), F.lit(p)) for p in ("H:m", "H:m:s", "h:m a", "h:m:s a", "yyyy-MM-dd'T'HH:mm[:ss]", "yyyy-MM-dd HH:mm[:ss]")))
+    return F.coalesce(strict, F.when(s.rlike(r"[0-9]:[0-9]"), F.date_format(loose, "HH:mm:ss")))
+
+
+def html_escaped(c: Column) -> Column:
+    """Text for HTML: the five special characters as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def megabytes(c: Column) -> Column:
+    """A number of bytes, as text or number, as megabytes with one digit; null for anything else."""
+    n = c.try_cast("bigint")
+    return F.when(n.isNotNull(), F.format_string("%.1f MB", n / F.lit(1024.0 * 1024)))
 
 
 def event_instant(c: Column) -> Column:

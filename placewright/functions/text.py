@@ -20,10 +20,10 @@ def strip(c: Column) -> Column:
 def accent_map() -> tuple[str, str]:
     """Letters that canonically decompose to a base letter and marks, and these base letters, both lower case.
 
-    The table follows from Unicode's own decompositions of the first plane, so it isn't written out.
+    The table follows from Unicode's own decompositions, so it isn't written out.
     """
     source, target = [], []
-    for n in range(0xC0, min(sys.maxunicode, 0xFFFF)):
+    for n in range(0xC0, sys.maxunicode + 1):
         ch = chr(n)
         if ch != ch.lower() or 0xD800 <= n <= 0xDFFF or 0xAC00 <= n <= 0xD7A3:
             continue

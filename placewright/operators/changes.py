@@ -4,14 +4,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def classify(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+def classify(old: DataFrame, new: DataFrame, key: str | list[str], digest: str) -> DataFrame:
     """Every key of ``new`` with ``status``: inserted, updated or unchanged. Keys are unique on both sides."""
-    o = old.select(F.col(key).alias("__k"), F.col(digest).alias("__old"), F.lit(True).alias("__seen"))
+    keys = [key] if isinstance(key, str) else key
+    o = old.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(digest).alias("__old"), F.lit(True).alias("__seen"))
     status = F.when(F.col("__seen").isNull(), "inserted").when(F.col("__old").eqNullSafe(F.col(digest)), "unchanged").otherwise("updated")
-    return new.join(o, F.col(key) == F.col("__k"), "left").withColumn("status", status).drop("__k", "__old", "__seen")
+    same = [F.col(k) == F.col(f"__k_{k}") for k in keys]
+    return new.join(o, same, "left").withColumn("status", status).drop(*(f"__k_{k}" for k in keys), "__old", "__seen")
 
 
-def changed_only(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+def changed_only(old: DataFrame, new: DataFrame, key: str | list[str], digest: str) -> DataFrame:
     """Rows of ``new`` that are unknown or differ."""
     return classify(old, new, key, digest).where("status <> 'unchanged'").drop("status")
 
@@ -46,3 +48,26 @@ def stale(rows: DataFrame, updated: str, marker: str) -> DataFrame:
 def marked(rows: DataFrame, updated: str, marker: str, now: Column) -> DataFrame:
     """The rows with the marker set where they were stale."""
     return rows.withColumn(marker, F.when(F.col(marker).isNull() | (F.col(updated) > F.col(marker)), now).otherwise(F.col(marker)))
+
+
+def rebuild_needed(rows: DataFrame, updated: str, marker: str, derived_exists: bool) -> bool:
+    """Whether a derived table is built again: it isn't there, or some row was never synchronised or has changed since."""
+    return not derived_exists or not stale(rows, updated, marker).isEmpty()
+
+
+def replace_unless_empty(fresh: DataFrame, path: str) -> bool:
+    """Write a derived table anew; an empty result leaves the old one as it is. Tells whether it was written.
+
+    The caller sets its marks only then. The new table is written beside the old one and read back before it takes its place.
+    """
+    from placewright.sources.tables import delete_path, move_path
+
+    spark = fresh.sparkSession
+    beside = path.rstrip("/") + ".new"
+    fresh.write.mode("overwrite").parquet(beside)
+    if spark.read.parquet(beside).isEmpty():
+        delete_path(spark, beside)
+        return False
+    delete_path(spark, path)
+    move_path(spark, beside, path)
+    return True

@@ -76,3 +76,27 @@ def extract_prices(v: Column) -> Column:
     specs = F.flatten(F.transform(offers, lambda o: F.filter(F.coalesce(J.members(J.at(o, "schema:priceSpecification")), F.array().cast("array<variant>")), lambda x: J.kind(x) == "OBJECT")))
     rows = F.flatten(F.transform(specs, spec))
     return F.array_distinct(F.filter(F.coalesce(rows, F.array().cast("array<struct<min_price:double,max_price:double,currency:string>>")), lambda p: p["min_price"].isNotNull() | p["max_price"].isNotNull() | p["currency"].isNotNull()))
+
+
+def canonical_hash(payload: Column) -> Column:
+    """SHA-256 (hexadecimal) of a document's canonical JSON: names in order, blanks after commas and colons, only ASCII; null for what isn't readable.
+
+    Two writings of one document have one hash. It runs in Arrow batches, since sorting names at every depth isn't an expression.
+    """
+
+    @F.pandas_udf("string")
+    def hashed(texts):
+        import hashlib
+        import json
+
+        import pandas as pd
+
+        def one(t):
+            try:
+                return hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, ensure_ascii=True).encode()).hexdigest()
+            except (TypeError, ValueError, RecursionError):
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return hashed(payload)

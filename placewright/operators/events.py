@@ -62,6 +62,48 @@ def rates(events: DataFrame, time: str, width: str, seconds: int, by: list[str])
     return n.select(F.col("w.start").alias("window_start"), *by, "n", F.round(F.col("n") / seconds, 9).alias("per_second"))
 
 
+def increases(samples: DataFrame, by: list[str], time: str, value: str, steps: DataFrame, step: str, seconds: int) -> DataFrame:
+    """Labels, ``step``, ``increase``, ``per_second`` of counters in the range of ``seconds`` before each step (sliding windows, open at their begin).
+
+    ``time`` and ``step`` are whole seconds. A sample below the one before it is a counter that began anew, and counts whole. A
+    sample's gain is added to every step whose range holds it; nothing is extrapolated to the ends of the range.
+    """
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(time))
+    gain = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    gains = samples.select(*by, F.col(time).alias("__t"), gain.alias("__gain"))
+    # steps meet the gains of their range by the blocks of that length that the range touches
+    block = lambda c: F.floor(c / seconds)
+    ranges = steps.select(F.col(step).alias("__step"), F.explode(F.sequence(block(F.col(step) - seconds), block(F.col(step)))).alias("__b"))
+    met = gains.withColumn("__b", block(F.col("__t"))).join(ranges, "__b").where((F.col("__t") > F.col("__step") - seconds) & (F.col("__t") <= F.col("__step")))
+    total = met.groupBy(*by, F.col("__step").alias(step)).agg(F.sum("__gain").alias("increase"))
+    return total.withColumn("per_second", F.col("increase") / F.lit(seconds))
+
+
+def cumulative_buckets(events: DataFrame, by: list[str], value: Column, bounds: list[float]) -> DataFrame:
+    """Labels, ``le``, ``n``: how many values are at most each bound (the last is infinity), as a histogram exposes them."""
+    levels = [*bounds, float("inf")]
+    at = F.array_min(F.filter(F.array(*(F.lit(float(b)) for b in levels)), lambda b: value <= b))
+    counts = events.where(value.isNotNull()).groupBy(*by, at.alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    # one row per label and bound
+    each = counts.select(*by, "__n", F.explode(F.filter(F.array(*(F.lit(float(b)) for b in levels)), lambda b: b >= F.col("__at"))).alias("le"))
+    return each.groupBy(*by, "le").agg(F.sum("__n").alias("n"))
+
+
+def histogram_quantile(buckets: DataFrame, by: list[str], q: float) -> DataFrame:
+    """Labels, ``quantile`` of cumulative buckets (``le``, ``n``): linear inside the bucket that holds the rank.
+
+    The first bucket begins at 0; a rank in the last one gives the last finite bound.
+    """
+    told = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("le", F.col("n").cast("double").alias("n")))).alias("__b"))  # as many as there are bounds
+    b = F.col("__b")
+    rank = F.element_at(b, -1)["n"] * q
+    at = F.array_position(F.transform(b, lambda x: x["n"] >= rank), True).cast("int")
+    here = F.element_at(b, at)
+    below = F.when(at > 1, F.get(b, at - 2)).otherwise(F.struct(F.lit(0.0).alias("le"), F.lit(0.0).alias("n")))
+    inside = below["le"] + (here["le"] - below["le"]) * (rank - below["n"]) / (here["n"] - below["n"])
+    return told.where(F.element_at(b, -1)["n"] > 0).select(*by, F.when(here["le"] == float("inf"), below["le"]).when(here["n"] == below["n"], here["le"]).otherwise(inside).alias("quantile"))
+
+
 def held(series: DataFrame, by: list[str], step: str, breach: Column, least: int) -> DataFrame:
     """Runs of at least ``least`` consecutive steps in breach (gaps and islands): labels, ``first_step``, ``last_step``, ``steps``."""
     w = Window.partitionBy(*by).orderBy(step)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions.scalars import haversine_km
 from placewright.operators.places import top_per_group
+from placewright.operators.quality import within
 from placewright.plans.cut import cut
 
 
@@ -34,6 +35,8 @@ def legs(stops: DataFrame, group: list[str], rank: str) -> DataFrame:
 
 def round_robin(places: DataFrame, group: list[str], order: list[Column], days: int, most: int) -> DataFrame:
     """The first ``days * most`` rows of each group dealt to days in turn: ``day``, ``stop`` (both from 1)."""
+    within("days", days, 1, 50)
+    within("most", most, 1, 50)
     first = top_per_group(places, group, order, days * most, "__r")
     return first.withColumn("day", F.pmod(F.col("__r") - 1, F.lit(days)) + 1).withColumn("stop", ((F.col("__r") - 1) / days).cast("int") + 1).drop("__r")
 
@@ -98,3 +101,17 @@ def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, ro
     best = settled.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("cost", "s")).alias("b")).select(F.col("g").alias(group), "b.*").withColumn("c", ordered)
     best = cut(best.select(group, *(F.get("c", F.lit(j))[x].alias(f"{n}{j}") for j in numbers for n, x in (("a", "lat"), ("o", "lon")))))
     return places.select(group, "id", "lat", "lon").join(near(best), group).select(group, "id", (day + 1).alias("day"))
+
+
+def weather_suits(outdoor: Column, rain: Column, precipitation: Column, code: Column, wind: Column) -> Column:
+    """1 in good or unknown weather, else one less the share of stops in the open."""
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    bad = (known(precipitation) > 0) | (known(rain) > 0) | (known(code) >= 51) | (known(wind) >= 40)
+    return F.when(bad, F.greatest(F.lit(0.0), 1 - outdoor)).otherwise(1.0)
+
+
+def wanted_or_all(places: DataFrame, group: list[str], hit: Column) -> DataFrame:
+    """The rows that are hits; of groups without any, all rows."""
+    found = places.withColumn("__hit", hit)
+    some = found.where("__hit").select(*group).distinct().withColumn("__some", F.lit(True))
+    return found.join(some, group, "left").where(F.col("__hit") | F.col("__some").isNull()).drop("__hit", "__some")

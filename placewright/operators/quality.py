@@ -31,3 +31,17 @@ def contract_breaks(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     actual = dict(df.dtypes)
     rows = [(c, t, actual.get(c)) for c, t in expected.items() if actual.get(c) != t]
     return df.sparkSession.createDataFrame(rows, "column_name string, expected string, actual string")
+
+
+def within(name: str, value: int, low: int, high: int) -> int:
+    """A parameter inside its domain, both ends included; ValueError otherwise."""
+    if not isinstance(value, int) or isinstance(value, bool) or not low <= value <= high:
+        raise ValueError(f"{name} must be a whole number from {low} to {high}, not {value!r}")
+    return value
+
+
+def given(name: str, value: str) -> str:
+    """A text parameter that isn't blank; ValueError otherwise."""
+    if not isinstance(value, str) or not value.strip():
+        raise ValueError(f"{name} must be a text that isn't blank")
+    return value

@@ -14,7 +14,10 @@ OK = "lat between -90 and 90 and lon between -180 and 180"
 
 
 def places(spark, d):
-    return latest(table(spark, d, "silver_places"), ["id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("source_content_hash")])
+    """The latest row of every place; ties fall to the hash and then to the other columns, so the row doesn't depend on the order of reading."""
+    rows = table(spark, d, "silver_places")
+    rest = [c for c in rows.columns if c not in ("id", "updated_at", "source_content_hash")]
+    return latest(rows, ["id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("source_content_hash"), *(F.desc_nulls_last(c) for c in rest)])
 
 
 def categories(spark, d):

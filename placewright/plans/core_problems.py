@@ -33,6 +33,37 @@ def p2_found(spark, d):
     return nested.pivot_groups(found, ["id"]).select("id", entity.alias("entity"), _path("pos").alias("pos_path"))
 
 
+def _spelled(v: str) -> str:
+    """SQL for what a value stands for: a text that is JSON of an object or list is read."""
+    inner = f"json_extract_string({v}, '$')"
+    return f"case when json_type({v}) = 'VARCHAR' and json_valid({inner}) and json_type(case when json_valid({inner}) then {inner} end) in ('OBJECT', 'ARRAY') then cast({inner} as json) else {v} end"
+
+
+def _listed(v: str) -> str:
+    return f"case json_type({v}) when 'ARRAY' then json_extract({v}, '$[*]') when 'OBJECT' then [{v}] else [] end"
+
+
+def _child(name: str, source: str, key: str, keep: str) -> str:
+    """SQL tables that give the objects at ``key`` of the objects ``o`` of ``source``, with their place in the list."""
+    return (
+        f"{name}_s as (select {keep}, {_spelled('x')} l from (select {keep}, json_extract(o, '$.\"{key}\"') x from {source})), "
+        f"{name}_m as (select {keep}, unnest({_listed('l')}) m, generate_subscripts({_listed('l')}, 1) - 1 i from {name}_s), "
+        f"{name} as (select {keep}, i, o from (select {keep}, i, {_spelled('m')} o from {name}_m) where json_type(o) = 'OBJECT')"
+    )
+
+
+P2_FOUND_SQL = ", ".join([
+    "with dl as (select id, raw_payload from (select *, row_number() over (partition by id order by ingested_at desc nulls last, content_hash desc nulls last, raw_payload desc nulls last) rn from bronze_raw_poi where snapshot_no = 4 and id is not null) where rn = 1)",
+    f"dc as (select id, o from (select id, {_spelled('v')} o from (select id, cast(raw_payload as json) v from dl where json_valid(raw_payload))) where json_type(o) = 'OBJECT')",
+    _child("offer", "dc", "offers", "id"),
+    _child("price", "(select id, i a, o from offer)", "schema:priceSpecification", "id, a"),
+    _child("audience", "(select id, a, i b, o from price)", "hasAudience", "id, a, b"),
+    _child("location", "dc", "isLocatedAt", "id"),
+    _child("address", "(select id, i a, o from location)", "schema:address", "id, a"),
+    _child("period", "dc", "takesPlaceAt", "id"),
+]) + " select id, 'price' as entity, a || '.' || i as pos_path from price union all select id, 'audience', a || '.' || b || '.' || i from audience union all select id, 'address', a || '.' || i from address union all select id, 'period', cast(i as varchar) from period"
+
+
 def p2_tables(spark, d):
     """All tables that the payloads hold, their repeated names found in the data: rows, records, leaf paths, values."""
     found = nested.triples(delivered(spark, d), {"id": F.col("id")}, F.col("raw_payload"))
@@ -180,4 +211,4 @@ select region_id, count(*) as places, count(distinct id) as ids from hit group b
 """
 
 QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables, "p2_offers": p2_offers, "p2_prices": p2_prices, "p2_audiences": p2_audiences, "p2_locations": p2_locations, "p2_addresses": p2_addresses, "p2_periods": p2_periods, "p3_found": p3_found, "p3_city_join": p3_city_join, "p5_found": p5_found, "p6_found": p6_found, "p6_links": p6_links, "p6_regions": p6_regions}
-SQL = {"p6_found": P6_FOUND_SQL, "p6_links": P6_LINKS_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_links": P6_LINKS_SQL, "p3_found": P3_FOUND_SQL, "p3_city_join": P3_CITY_JOIN_SQL, "p5_found": P5_FOUND_SQL, "p6_regions": P6_REGIONS_SQL}

@@ -86,14 +86,20 @@ def match_rate(spark, d):
     return full.groupBy("city").agg(avg_to((S.match_count(F.col("categories"), WANTED) > 0).cast("double"), 6).alias("match_rate"))
 
 
-@query("weather_suitability", f"with {TX}, o as (select lower(city) city, avg(case when regexp_matches(lower(t), '{OUTDOOR}') then 1e0 else 0e0 end) outdoor from tx where city is not null group by lower(city)), w as (select city, max_by(rain, {{t: event_time, i: id}}) filter (where rain is not null) rain, max_by(wind_speed_10m, {{t: event_time, i: id}}) filter (where wind_speed_10m is not null) wind from analytics_kafka_events where city is not null group by city) select o.city, round(case when coalesce(rain, 0) > 0 or coalesce(wind, 0) >= 40 then greatest(0e0, 1 - outdoor) else 1e0 end + 1e-9, 6) as suitability from o left join w on w.city = o.city")
+WEATHER = {"rain": "rain", "wind": "wind_speed_10m", "precipitation": "cast(case when json_valid(payload) then json_extract(payload, '$.weather.precipitation') end as double)", "code": "cast(case when json_valid(payload) then json_extract(payload, '$.weather.weather_code') end as double)"}
+LATEST = ", ".join(f"max_by({c}, {{t: event_time, i: id}}) filter (where {c} is not null) {n}" for n, c in WEATHER.items())
+
+
+@query("weather_suitability", f"with {TX}, o as (select lower(city) city, avg(case when regexp_matches(lower(t), '{OUTDOOR}') then 1e0 else 0e0 end) outdoor from tx where city is not null group by lower(city)), w as (select city, {LATEST} from analytics_kafka_events where city is not null group by city) select o.city, round(case when coalesce(rain, 0) > 0 or coalesce(precipitation, 0) > 0 or coalesce(code, 0) >= 51 or coalesce(wind, 0) >= 40 then greatest(0e0, 1 - outdoor) else 1e0 end + 1e-9, 6) as suitability from o left join w on w.city = o.city")
 def weather_suitability(spark, d):
     full = P.with_categories(places(spark, d), named_links(spark, d)).where("city is not null")
     outdoor = full.groupBy(F.lower("city").alias("city")).agg(F.avg(F.lower(F.array_join("categories", " ")).rlike(OUTDOOR).cast("double")).alias("outdoor"))
+    told = lambda v: S.try_number(F.get_json_object("payload", f"$.weather.{v}"))
+    events = table(spark, d, "analytics_kafka_events").where("city is not null").withColumns({"precipitation": told("precipitation"), "code": told("weather_code"), "wind": F.col("wind_speed_10m")})
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("event_time", "id"))).alias(c)
-    weather = table(spark, d, "analytics_kafka_events").where("city is not null").groupBy("city").agg(latest("rain"), latest("wind_speed_10m"))
-    bad = (F.coalesce("rain", F.lit(0.0)) > 0) | (F.coalesce("wind_speed_10m", F.lit(0.0)) >= 40)
-    return outdoor.join(weather, "city", "left").select("city", F.round(F.when(bad, F.greatest(F.lit(0.0), 1 - F.col("outdoor"))).otherwise(1.0) + 1e-9, 6).alias("suitability"))
+    weather = events.groupBy("city").agg(*(latest(c) for c in WEATHER))
+    suits = planner.weather_suits(F.col("outdoor"), F.col("rain"), F.col("precipitation"), F.col("code"), F.col("wind"))
+    return outdoor.join(weather, "city", "left").select("city", F.round(suits + 1e-9, 6).alias("suitability"))
 
 
 @query("quality_metrics", f"with {LG}, {PC}, m as (select tk.id, bool_or(coalesce(lower(category) in ('museum', 'beach'), false)) hit, count(distinct category) n from tk left join pc on pc.place_id = tk.id group by tk.id) select (select round(avg(case when hit then 1e0 else 0e0 end) + 1e-9, 6) from m) as match_rate, (select cast(floor(avg(km) * 1000 + 1e-3) as bigint) from km) as avg_leg_m, (select round(avg(n) + 1e-9, 6) from m) as avg_categories")
@@ -175,3 +181,14 @@ def demo_related(spark, d):
 @query("round_robin_days", f"with {CA}, r as (select *, row_number() over (partition by city order by name, id) - 1 r from ca) select city, id, cast(r % 3 + 1 as integer) as day, cast(r // 3 + 1 as integer) as stop from r where r < 12")
 def round_robin_days(spark, d):
     return planner.round_robin(candidates(spark, d), ["city"], [F.col("name"), F.col("id")], 3, 4).select("city", "id", F.col("day").cast("int").alias("day"), "stop")
+
+
+FOUND = "list_has_any(categories, ['Market', 'Garden'])"
+
+
+@query("demo_itinerary", f"with {SAMPLE_SQL}, f as (select *, {FOUND} hit, bool_or({FOUND}) over (partition by city) any_hit from sample), r as (select *, row_number() over (partition by city order by id) - 1 r from f where hit or not any_hit) select city, cast(r % 2 + 1 as integer) as day, cast(r // 2 + 1 as integer) as stop, id from r where r < 6")
+def demo_itinerary(spark, d):
+    """Days of the sample's cities by interest; a city without a match is planned with all its places."""
+    hit = F.arrays_overlap("categories", F.array(F.lit("Market"), F.lit("Garden")))
+    found = planner.wanted_or_all(sample(spark), ["city"], hit)
+    return planner.round_robin(found, ["city"], [F.col("id")], 2, 3).select("city", F.col("day").cast("int").alias("day"), "stop", "id")

@@ -7,7 +7,8 @@ from placewright.functions import scalars as S
 from placewright.functions.text import clean_text, latest
 from placewright.operators import changes, places as P, quality
 from placewright.plans.base import OK, PC, PL, avg_to, categories, joined, links, named_links, places, usable
-from placewright.sources.tables import table, views
+from placewright.plans.cut import scratch
+from placewright.sources.tables import path_exists, table, views
 
 QUERIES, SQL = {}, {}
 
@@ -60,9 +61,12 @@ def values_relation(spark, d):
 # --- staging and cleaning ----------------------------------------------------------------------
 
 
-@query("stg_places", "select id as place_id, name as place_name, city, region, lat, lon, updated_at from silver_places where id is not null and name is not null and lat is not null and lon is not null")
+@query("stg_places", "select id as place_id, name as place_name, city, region, cast(nullif(cast(lat as varchar), 'nan') as double) as lat, cast(nullif(cast(lon as varchar), 'nan') as double) as lon, updated_at from silver_places where id is not null and name is not null and lat is not null and lon is not null")
 def stg_places(spark, d):
-    return table(spark, d, "silver_places").where("id is not null and name is not null and lat is not null and lon is not null").selectExpr("id as place_id", "name as place_name", "city", "region", "lat", "lon", "updated_at")
+    """Renamed columns of the usable rows; what is no number (NaN) is null in the result."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    rows = table(spark, d, "silver_places").where("id is not null and name is not null and lat is not null and lon is not null")
+    return rows.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"), "city", "region", number("lat"), number("lon"), "updated_at")
 
 
 @query("stg_categories", "select id as category_id, name as category_name from silver_categories where id is not null")
@@ -114,11 +118,6 @@ def try_time(spark, d):
     return table(spark, d, "documents").select("doc_id", S.try_clock(w).alias("clock"))
 
 
-@query("coalesce_paths", "select snapshot_no, id, content_hash, coalesce(nullif(source_identifier, ''), id, source_file) as label from bronze_raw_poi")
-def coalesce_paths(spark, d):
-    return table(spark, d, "bronze_raw_poi").select("snapshot_no", "id", "content_hash", F.coalesce(F.nullif("source_identifier", F.lit("")), "id", "source_file").alias("label"))
-
-
 @query("default_projection", f"with {PL} select id, coalesce(nullif(name, ''), 'Unknown POI') as name, coalesce(nullif(city, ''), 'Unknown City') as city from pl")
 def default_projection(spark, d):
     return places(spark, d).select("id", S.or_default(F.col("name"), "Unknown POI").alias("name"), S.or_default(F.col("city"), "Unknown City").alias("city"))
@@ -150,10 +149,10 @@ def content_hash(spark, d):
     return table(spark, d, "silver_places").select("id", F.sha2(text, 256).alias("hash"))
 
 
-@query("array_distinct", "with w as (select doc_id, list_distinct(list_transform(string_split(lower(title), ' '), lambda x: substr(x, 1, 2))) l from documents where title is not null) select doc_id, array_to_string(list_sort(l), '|') as parts from w")
+@query("array_distinct", "with w as (select doc_id, string_split(lower(title), ' ') l from documents where title is not null) select doc_id, array_to_string(list_filter(l, lambda x, i: not list_contains(l[1:i-1], x)), '|') as parts from w")
 def array_distinct(spark, d):
-    parts = F.transform(F.split(F.lower("title"), " "), lambda x: F.substring(x, 1, 2))
-    return table(spark, d, "documents").where("title is not null").select("doc_id", joined(F.array_sort(F.array_distinct(parts))).alias("parts"))
+    """The distinct words of a title, in the order of their first occurrence."""
+    return table(spark, d, "documents").where("title is not null").select("doc_id", joined(F.array_distinct(F.split(F.lower("title"), " "))).alias("parts"))
 
 
 @query("normalize_terms", "with t as (select id, list_filter(list_transform(string_split(coalesce(city, '') || ',' || upper(coalesce(city, '')) || ', ,' || coalesce(region, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') l from silver_places group by all) select id, array_to_string(list_filter(l, lambda x, i: not list_contains(list_transform(l[1:i-1], lambda y: lower(y)), lower(x))), '|') as terms from t")
@@ -170,42 +169,57 @@ def split_list(spark, d):
 
 # --- change capture ----------------------------------------------------------------------------
 
-BR = "cur as (select * from (select *, row_number() over (partition by snapshot_no, id order by ingested_at desc nulls last, content_hash desc nulls last) rn from bronze_raw_poi where id is not null) where rn = 1), o as (select id, lower(content_hash) h, updated_at u from cur where snapshot_no = 1), n as (select id, lower(content_hash) h, updated_at u from cur where snapshot_no = 2), st as (select n.*, case when o.id is null then 'inserted' when o.h is not distinct from n.h then 'unchanged' else 'updated' end status from n left join o on o.id = n.id)"
+BR = "cur as (select snapshot_no s, id, lower(content_hash) h from (select *, row_number() over (partition by snapshot_no, id order by ingested_at desc nulls last, content_hash desc nulls last) rn from bronze_raw_poi where id is not null) where rn = 1), st as (select n.s, n.id, n.h, case when o.id is null then 'inserted' when o.h is not distinct from n.h then 'unchanged' else 'updated' end status from cur n left join cur o on o.id = n.id and o.s = n.s - 1 where n.s > 1)"
+#: The merged state: what each delivery brought is compared with the last row of the same id before it.
+MG = f"{BR}, lg as (select *, lag(s) over w ps, lag(h) over w ph from cur window w as (partition by id order by s))"
 
 
-def _two(spark, d):
-    cur = table(spark, d, "bronze_raw_poi").where("id is not null and snapshot_no in (1, 2)").select("snapshot_no", "id", "content_hash", "updated_at", "ingested_at")
+def _deliveries(spark, d):
+    """``s``, ``id``, ``h``: the row that counts for each id of each delivery."""
+    cur = table(spark, d, "bronze_raw_poi").where("id is not null").select("snapshot_no", "id", "content_hash", "ingested_at")
     cur = latest(cur, ["snapshot_no", "id"], [F.desc_nulls_last("ingested_at"), F.desc_nulls_last("content_hash")])
-    pick = lambda n: cur.where(F.col("snapshot_no") == n).select("id", F.lower("content_hash").alias("h"), F.col("updated_at").alias("u"))
-    return pick(1), pick(2)
+    return cur.select(F.col("snapshot_no").alias("s"), "id", F.lower("content_hash").alias("h"))
+
+
+def _before_and_after(spark, d):
+    """Every delivery but the first, and under its number the one before it."""
+    cur = _deliveries(spark, d)
+    return cur.withColumn("s", F.col("s") + 1), cur.where("s > 1")
 
 
-@query("cdc_classify", f"with {BR} select id, h, status from st")
+@query("cdc_classify", f"with {BR} select s, id, h, status from st")
 def cdc_classify(spark, d):
-    return changes.classify(*_two(spark, d), "id", "h").select("id", "h", "status")
+    return changes.classify(*_before_and_after(spark, d), ["s", "id"], "h").select("s", "id", "h", "status")
 
 
-@query("cdc_counts", f"with {BR} select count(*) as total, count(*) filter (where status = 'inserted') as inserted, count(*) filter (where status = 'updated') as updated, count(*) filter (where status = 'unchanged') as unchanged from st")
+@query("cdc_counts", f"with {BR} select s, count(*) as total, count(*) filter (where status = 'inserted') as inserted, count(*) filter (where status = 'updated') as updated, count(*) filter (where status = 'unchanged') as unchanged from st group by s")
 def cdc_counts(spark, d):
-    s = changes.classify(*_two(spark, d), "id", "h")
-    return s.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == x).alias(x) for x in ("inserted", "updated", "unchanged")))
+    s = changes.classify(*_before_and_after(spark, d), ["s", "id"], "h")
+    return s.groupBy("s").agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == x).alias(x) for x in ("inserted", "updated", "unchanged")))
 
 
-@query("cdc_merge", f"with {BR} select id, h, false as touched from o where id not in (select id from st where status <> 'unchanged') union all select id, h, true from st where status <> 'unchanged'")
+@query("cdc_merge", f"with {MG} select id, max_by(h, s) as h, max(s) filter (where ps is null or h is distinct from ph) as touched from lg group by id")
 def cdc_merge(spark, d):
-    old, new = (x.select("id", "h", F.lit(False).alias("touched")) for x in _two(spark, d))
-    return changes.merge(old, new, "id", "h", "touched", F.lit(True))
+    """The table after all four deliveries, with the number of the delivery that last changed a row."""
+    one = lambda n: _deliveries(spark, d).where(F.col("s") == n).select("id", "h", F.col("s").alias("touched"))
+    state = one(1)
+    for n in (2, 3, 4):
+        state = changes.merge(state, one(n), "id", "h", "touched", F.lit(n))
+    return state
 
 
-@query("changed_rows", f"with {BR} select id, h from st where status <> 'unchanged'")
+@query("changed_rows", f"with {BR} select s, id, h from st where status <> 'unchanged'")
 def changed_rows(spark, d):
-    return changes.changed_only(*_two(spark, d), "id", "h").select("id", "h")
+    return changes.changed_only(*_before_and_after(spark, d), ["s", "id"], "h").select("s", "id", "h")
 
 
-@query("upsert_anti_union", f"with {BR} select id, h from n union all select id, h from o where id not in (select id from n)")
+@query("upsert_anti_union", f"with {BR} select id, max_by(h, s) as h from cur group by id")
 def upsert_anti_union(spark, d):
-    old, new = _two(spark, d)
-    return changes.upsert(old.select("id", "h"), new.select("id", "h"), "id")
+    one = lambda n: _deliveries(spark, d).where(F.col("s") == n).select("id", "h")
+    state = one(1)
+    for n in (2, 3, 4):
+        state = changes.upsert(state, one(n), "id")
+    return state
 
 
 @query("replace_children", "with fresh as (select distinct place_id, 1 as category_id from silver_place_categories where category_id = 2) select place_id, category_id from silver_place_categories where place_id not in (select place_id from fresh) union select place_id, category_id from fresh")
@@ -353,10 +367,23 @@ def json_records(spark, d):
     return places(spark, d).select("id", record.alias("j")).select("id", F.get_json_object("j", "$.city").alias("city"), F.get_json_object("j", "$.lat").cast("double").alias("lat"))
 
 
-@query("map_points", f"with {PL}, {PC}, a as (select place_id, list_sort(list(distinct category)) c from pc group by place_id) select id, lat, lon, array_to_string(coalesce(c, [])[1:3], ', ') as label from pl left join a on a.place_id = pl.id where lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+LABEL = ESCAPED.format("array_to_string(coalesce(c, [])[1:3], ', ')")
+
+
+@query("map_points", f"with {PL}, {PC}, a as (select place_id, list_sort(list(distinct category)) c from pc group by place_id) select id, lat, lon, {ESCAPED.format('name')} as name, {ESCAPED.format('address')} as address, {LABEL} as label from pl left join a on a.place_id = pl.id where lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
 def map_points(spark, d):
+    """The places that a map can show, with texts for HTML: at most three categories each."""
     rows = P.with_categories(places(spark, d), named_links(spark, d)).dropna(subset=["lat", "lon"])
-    return rows.select("id", "lat", "lon", F.array_join(F.slice("categories", 1, 3), ", ").alias("label"))
+    label = F.array_join(F.slice("categories", 1, 3), ", ")
+    return rows.select("id", "lat", "lon", S.html_escaped(F.col("name")).alias("name"), S.html_escaped(F.col("address")).alias("address"), S.html_escaped(label).alias("label"))
+
+
+@query("map_center", f"with {PL} select city, round(avg(lat) + 1e-9, 4) as lat, round(avg(lon) + 1e-9, 4) as lon, count(*) as points from pl where city is not null and {OK} group by city")
+def map_center(spark, d):
+    """The centre of each city's map: the mean of its usable coordinates; a city without any has no map."""
+    rows = places(spark, d).where(F.col("city").isNotNull() & usable())
+    return rows.groupBy("city").agg(avg_to(F.col("lat"), 4).alias("lat"), avg_to(F.col("lon"), 4).alias("lon"), F.count(F.lit(1)).alias("points"))
 
 
 # --- scores, cells, graph ----------------------------------------------------------------------
@@ -453,6 +480,35 @@ def dq_unique(spark, d):
     return quality.repeated_keys(table(spark, d, "silver_places"), F.col("id"), "place_id")
 
 
+@query("dq_unique_marts", f"with {PL}, m as (select city from pl where city is not null and trim(city, ' ') <> '' group by city), k as (select 'category_id' k, cast(id as varchar) v from silver_categories union all select 'city', city from m) select k as key_name, count(*) as keys, count(*) - count(distinct v) as repeated from k group by k")
+def dq_unique_marts(spark, d):
+    """The keys of the category table and of the city mart, and how many of them are repeated."""
+    mart = places(spark, d).where(S.non_blank(F.col("city"))).groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda name, df, key: df.agg(F.lit(name).alias("key_name"), F.count(F.lit(1)).alias("keys"), (F.count(F.lit(1)) - F.countDistinct(key)).alias("repeated"))
+    return count("category_id", categories(spark, d), "id").unionByName(count("city", mart, "city"))
+
+
+@query("exists_probe", "select exists (select 1 from bronze_raw_poi where snapshot_no = 4) as delivered, exists (select 1 from bronze_raw_poi where snapshot_no = 5) as next_delivered, exists (select 1 from gold_clusters) as gold_there")
+def exists_probe(spark, d):
+    bronze = table(spark, d, "bronze_raw_poi")
+    probes = {"delivered": bronze.where("snapshot_no = 4"), "next_delivered": bronze.where("snapshot_no = 5"), "gold_there": table(spark, d, "gold_clusters")}
+    return spark.createDataFrame([tuple(not df.isEmpty() for df in probes.values())], ", ".join(f"{k} boolean" for k in probes))
+
+
+GOLD_ROWS = "gp as (select cell, cast(sum(score) as bigint) as total_score, count(distinct id) as poi_count, min_by(city, id) filter (where city is not null and city <> '') as city from sc group by cell having count(distinct id) >= 2)"
+
+
+@query("gold_rebuild", f"with {CELL}, {GOLD_ROWS} select cell, total_score, poi_count, city, true as marked from gp")
+def gold_rebuild(spark, d):
+    """The gold table after two runs: one that rebuilds it, and one that finds no usable rows and leaves it as it is."""
+    out, marked = scratch(spark, "gold") + "/clusters", False
+    if changes.rebuild_needed(places(spark, d), "updated_at", "gold_pg_synced_at", path_exists(spark, out)):
+        fresh = P.cells(_scored(spark, d)).select("cell", "total_score", "poi_count", "city")
+        marked = changes.replace_unless_empty(fresh, out)
+        changes.replace_unless_empty(fresh.limit(0), out)
+    return spark.read.parquet(out).withColumn("marked", F.lit(marked))
+
+
 @query("dq_fk", "select 'place' as reference, count(*) as missing from silver_place_categories l where place_id is not null and not exists (select 1 from silver_places p where p.id = l.place_id) union all select 'category', count(*) from silver_place_categories l where category_id is not null and not exists (select 1 from silver_categories c where c.id = l.category_id)")
 def dq_fk(spark, d):
     l = table(spark, d, "silver_place_categories")  # noqa: E741
@@ -464,6 +520,6 @@ def dq_fk(spark, d):
 CONTRACT = {"id": "string", "name": "string", "lat": "double", "lon": "double", "city": "string", "updated_at": "timestamp_ntz", "rating": "double"}
 
 
-@query("schema_contract")
+@query("schema_contract", "with e(column_name, expected) as (values ('id', 'string'), ('name', 'string'), ('lat', 'double'), ('lon', 'double'), ('city', 'string'), ('updated_at', 'timestamp_ntz'), ('rating', 'double')), a as (select column_name, case data_type when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'timestamp_ntz' else lower(data_type) end actual from information_schema.columns where table_name = 'silver_places') select e.column_name, expected, actual from e left join a using (column_name) where actual is distinct from expected")
 def schema_contract(spark, d):
     return quality.contract_breaks(table(spark, d, "silver_places"), CONTRACT)

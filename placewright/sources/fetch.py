@@ -47,11 +47,9 @@ def file_name(headers: Mapping[str, str]) -> str | None:
 
 
 def same_version(headers: Mapping[str, str], notes: Mapping) -> bool:
-    """The remote file is the one noted: by its name token if both have one, else by ETag or time."""
+    """The remote file is the one noted: by its name token, its ETag, or its time, whichever agrees."""
     token = file_name(headers)
-    if token and notes.get("token"):
-        return token == notes["token"]
-    return any(headers.get(h) and headers.get(h) == notes.get(n) for h, n in (("ETag", "etag"), ("Last-Modified", "modified")))
+    return bool(token and token == notes.get("token")) or any(headers.get(h) and headers.get(h) == notes.get(n) for h, n in (("ETag", "etag"), ("Last-Modified", "modified")))
 
 
 def _open(url: str, headers: Mapping[str, str]):

@@ -43,5 +43,6 @@ def test_fetch(tmp_path):
     assert fetched(Answer(200, packed(), ETag="e1"), force=True) == path and asked[-1] == {}
     assert fetched(Answer(500), Answer(500), Answer(500)) is None
     assert fetched(Answer(200, packed(), ETag="e2", Content_Disposition='a; filename="f2.zip"')) == path and fetch.notes_of(path)["token"] == "f2.zip"
+    assert fetched(Answer(200, packed(), ETag="e2", Content_Disposition='a; filename="f3.zip"')) is None
     (tmp_path / "a.zip.meta.json").write_text("[broken")
     assert fetch.notes_of(path) == {} and fetch.whole_archive(path) and not fetch.whole_archive(str(tmp_path))

@@ -14,8 +14,8 @@ from placewright.functions import jsonpath as J
 from placewright.functions import scalars as S
 from placewright.functions.text import clean_text, fold, strip
 from placewright.operators import changes, documents, events, places, planner, quality
-from placewright.plans import raw_documents
-from placewright.sources import archives
+from placewright.plans import cut, raw_documents
+from placewright.sources import archives, config, weather
 from placewright.streaming import intake
 
 
@@ -31,7 +31,9 @@ def values(spark, expr, rows, kind="string"):
         (fold, ["ÉTÉ œuf Straße é", "ĐŁ ñ", None], ["ete œuf straße e", "đł n", None]),
         (S.try_number, ["1e3", " 2.5 ", "-.5", "0x10", "1_000", "1,5", "1.5f", "1d", "NaN", "", None], [1000.0, 2.5, -0.5] + [None] * 8),
         (S.try_iso_date, ["2024-02-29", "2023-02-29", "2024-01-02T10:00:00Z", "01/02/2024", None], [dt.date(2024, 2, 29), None, dt.date(2024, 1, 2), None, None]),
-        (S.try_clock, ["09:30:00", "09:30", "24:00", "9:30", "xx", None], ["09:30:00", "09:30:00", None, None, None, None]),
+        (S.try_clock, ["09:30:00", "09:30", "24:00", "9:30", "9:30 pm", "2024-01-02T10:20:30", "2024-01-02 10:20", "xx", "930", None], ["09:30:00", "09:30:00", None, "09:30:00", "21:30:00", "10:20:30", "10:20:00", None, None, None]),
+        (S.html_escaped, ["<a & 'b'>", '"', None], ["&lt;a &amp; &#x27;b&#x27;&gt;", "&quot;", None]),
+        (S.megabytes, ["1048576", "x", "2621440", None], ["1.0 MB", None, "2.5 MB", None]),
         (lambda c: S.or_default(c, "?"), ["a", "", None], ["a", "?", "?"]),
         (S.split_terms, ["a, b ,,c", "", None], [["a", "b", "c"], [], None]),
         (S.file_name_of, ['attachment; FileName="a b.zip"', "none", None], ["a b.zip", None, None]),
@@ -178,22 +180,102 @@ def test_archives(spark, tmp_path):
     assert io and isinstance(archives.documents_of("x", b"[" * 100_000), list)
 
 
-def test_scan_json_docs_reads_every_readable_payload(spark, tmp_path):
+def test_files_and_archives_of_documents(spark, tmp_path):
     one = {"@id": "a", "dc:identifier": 5, "x": [{"y": "l1\nl2 é"}]}
-    texts = [json.dumps(one), json.dumps(one, indent=2), json.dumps(one, indent=1).replace("\n", "\r\n"), json.dumps([one, 3, one]), '{"@id": "\\ud800"}', "{", '{"@id": "a\nb"}', '{"@id": "p"}\x1e{"@id": "q"}', "", None, '{"@id": "t"} tail']
-    rows = [(4, f"r{i}", None, "0", t) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "snapshot_no int, id string, ingested_at timestamp, content_hash string, raw_payload string").write.parquet(f"{tmp_path}/bronze_raw_poi.parquet")
-    got = sorted(map(tuple, raw_documents.scan_json_docs(spark, str(tmp_path)).where("`dc:identifier` is not null").collect()))
-    assert got == [("a", "5")] * 5
-    assert raw_documents.scan_json_docs(spark, str(tmp_path)).count() == 6
+    texts = [json.dumps(one), json.dumps(one, indent=2), json.dumps(one, indent=1).replace("\n", "\r\n"), json.dumps([one, 3, one]), '{"@id": "\\ud800"}', "{", "", '{"@id": "t"} tail']
+    rows = spark.createDataFrame([(f"f{i}.json", t) for i, t in enumerate(texts)], "name string, text string")
+    archives.write_files(rows, f"{tmp_path}/files")
+    got = [json.loads(r.document) for r in archives.scan_json(spark, f"{tmp_path}/files").collect()]
+    assert sum(d == one for d in got) == 5 and len(got) == 6
+    packed = rows.select(F.lit("a.zip").alias("archive"), F.concat(F.lit("objects/"), "name").alias("member"), "text").unionByName(spark.createDataFrame([("b.zip", "objects/x.json", '{"@id": "z"}'), ("b.zip", "else.json", "{}")], "archive string, member string, text string"))
+    archives.write_zips(packed, f"{tmp_path}/zips")
+    (tmp_path / "zips/c.zip").write_bytes(b"no archive")
+    for size in (64 << 20, 1):
+        got = sorted((r.archive.rsplit("/", 1)[1], json.loads(r.document)["@id"]) for r in archives.scan_zip(spark, f"{tmp_path}/zips", bytes_per_part=size).collect())
+        assert got == sorted([("a.zip", "a")] * 5 + [("a.zip", "\ud800"), ("b.zip", "z")])
+    whole = (tmp_path / "zips/b.zip").read_bytes()
+    at = whole.index(b"objects/x.json") + 14
+    (tmp_path / "zips/b.zip").write_bytes(whole[:at] + bytes(8) + whole[at + 8 :])  # a member is damaged
+    assert {r.archive.rsplit("/", 1)[1] for r in archives.scan_zip(spark, f"{tmp_path}/zips").collect()} == {"a.zip"}
 
 
 def test_scan_json_docs_on_table(spark):
-    where = "/root/testdata/sf0.1"
+    where = "/root/testdata/sf0.01"
     texts = [r.raw_payload for r in raw_documents.delivered(spark, where).collect()]
     want = sorted(json.loads(d)["@id"] for t in texts for d in archives.documents_of("", t or ""))
-    got = sorted(r["@id"] for r in raw_documents.scan_json_docs(spark, where).collect())
+    got = sorted(r.id for r in raw_documents.scan_json_docs(spark, where).collect() for _ in range(r.documents))
     assert got == want and any("\n" in (t or "").strip() for t in texts)
+    cut.clear_scratch(spark)
+    assert not cut._SCRATCH
+
+
+def test_canonical_hash(spark):
+    import hashlib
+
+    a = '{"b": {"y": 1, "x": "é"}, "a": [1.5, null]}'
+    want = hashlib.sha256(rb'{"a": [1.5, null], "b": {"x": "\u00e9", "y": 1}}').hexdigest()
+    assert values(spark, documents.canonical_hash, [a, '{ "a":[1.5,null],"b":{"x":"\\u00E9","y":1} }', "{", None, "[" * 100_000]) == [want, want, None, None, None]
+
+
+def test_config_and_parameters(tmp_path):
+    (tmp_path / "c.toml").write_text('[fields.texts]\nname = "rdfs:label"\n[fields.numbers]\nlat = ["a.b", "c"]\n')
+    assert config.field_paths(config.load_config(str(tmp_path / "c.toml"))) == ({"name": ["rdfs:label"]}, {"lat": ["a.b", "c"]})
+    (tmp_path / "c.json").write_text('{"fields": {"texts": {}}}')
+    with pytest.raises(ValueError, match="numbers"):
+        config.field_paths(config.load_config(str(tmp_path / "c.json")))
+    assert quality.within("days", 50, 1, 50) == 50 and quality.given("city", "x") == "x"
+    for bad in (0, 51, True, "3", 2.0):
+        with pytest.raises(ValueError, match="days"):
+            quality.within("days", bad, 1, 50)
+    with pytest.raises(ValueError, match="city"):
+        quality.given("city", " ")
+
+
+def test_weather(spark):
+    def get(url, timeout):
+        if "latitude=9.0" in url:
+            raise OSError("no answer")
+        return b'{"current": {"temperature_2m": 12, "rain": 0.5, "weather_code": null}}' if "latitude=1.5" in url and timeout == 10 else b"[]"
+
+    points = spark.createDataFrame([("a", 1.5, 2.0), ("b", 9.0, 2.0), ("c", None, 2.0), ("d", 3.0, 3.0)], "city string, lat double, lon double")
+    got = {r.city: (r.temperature_2m, r.rain, r.weather_code, r.failed) for r in weather.current_weather(points, "http://w", get).collect()}
+    assert got == {"a": (12.0, 0.5, None, False), "b": (None, None, None, True), "c": (None, None, None, True), "d": (None, None, None, True)}
+
+
+def test_counters_and_histograms(spark):
+    samples = spark.createDataFrame([("a", 0, 5), ("a", 10, 8), ("a", 20, 2), ("a", 30, 2), ("b", 10, 7), ("b", 25, 9)], "k string, t bigint, v bigint")
+    steps = spark.createDataFrame([(10,), (25,), (31,), (99,)], "at bigint")
+    got = {(r.k, r["at"]): r.increase for r in events.increases(samples, ["k"], "t", "v", steps, "at", 15).collect()}
+    assert got == {("a", 10): 3, ("a", 25): 2, ("a", 31): 2, ("b", 10): 0, ("b", 25): 2, ("b", 31): 2}
+    rows = spark.createDataFrame([("a", v) for v in (0.5, 1.0, 3.0, 4.0)] + [("b", 99.0), ("b", None), ("c", -1.0)], "k string, v double")
+    buckets = events.cumulative_buckets(rows, ["k"], F.col("v"), [1, 5])
+    assert sorted(map(tuple, buckets.collect())) == [("a", 1.0, 2), ("a", 5.0, 4), ("a", float("inf"), 4), ("b", float("inf"), 1), ("c", 1.0, 1), ("c", 5.0, 1), ("c", float("inf"), 1)]
+    full = buckets.unionByName(spark.createDataFrame([("b", 1.0, 0), ("b", 5.0, 0)], "k string, le double, n bigint"))
+    assert {r.k: r.quantile for r in events.histogram_quantile(full, ["k"], 0.75).collect()} == {"a": 3.0, "b": 5.0, "c": 0.75}
+
+
+def test_gold_keeps_what_it_has(spark, tmp_path):
+    out = f"{tmp_path}/gold"
+    rows = spark.createDataFrame([(1, 1, 2), (2, 3, None)], "id int, u int, m int")
+    assert changes.rebuild_needed(rows.where("id = 1"), "u", "m", False) and not changes.rebuild_needed(rows.where("id = 1"), "u", "m", True) and changes.rebuild_needed(rows, "u", "m", True)
+    assert changes.replace_unless_empty(rows, out) and not changes.replace_unless_empty(rows.limit(0), out) and spark.read.parquet(out).count() == 2
+    assert changes.replace_unless_empty(rows.limit(1), out) and spark.read.parquet(out).count() == 1
+
+
+def test_wanted_or_all(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "city string, id int")
+    assert sorted(r.id for r in planner.wanted_or_all(df, ["city"], F.col("id") == 2).collect()) == [2, 3, 4]
+
+
+def test_counts_of_a_stream_and_its_end(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("t", 0, o, json.dumps({"event_type": "a", "event_time": "2024-01-01T00:00:00Z"})) for o in (1, 1, 2)] + [("t", 0, 3, "broken")]
+    spark.createDataFrame(rows, intake.SCHEMA).write.parquet(src)
+    intake.running_counts(intake.read_messages(spark, "parquet", src), f"{out}/n", f"{out}/c").awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/n").collect()] == [("t", "a", 2)]
+    query = intake.read_messages(spark, "parquet", src).writeStream.format("noop").option("checkpointLocation", f"{out}/c2").start()
+    intake.stop(query, 20)
+    assert not query.isActive
 
 
 def test_stream_takes_each_message_once(spark, tmp_path):
