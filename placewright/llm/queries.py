@@ -58,4 +58,16 @@ with s as (select distinct id, name, description,
 select distinct id_a, id_b from j where 5 * shared >= 3 * (n_a + n_b - shared)
 """
 
-SQL = {"p4_found": P4_FOUND_SQL}
+#: Entities are read as far as the texts have them; the others part words. Both readings of a hyphen at a line's end count.
+P8_FOUND_SQL = r"""
+with src as (select 'd' side, doc_id k, text t from documents where text is not null union all select 'i', item_id, text from eval_items where text is not null),
+     e as (select side, k, regexp_replace(regexp_replace(t, '&([A-Za-z])(acute|grave|circ|uml|cedil|tilde);', '\1', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g') t from src),
+     h as (select side, k, regexp_replace(t, '[-\x{ad}\x{2010}\x{2011}][ \t]*(\r\n|\r|\n)[ \t]*', '', 'g') t from e
+           union select side, k, regexp_replace(t, '[-\x{ad}\x{2010}\x{2011}][ \t]*(\r\n|\r|\n)[ \t]*', ' ', 'g') from e),
+     f as (select side, k, regexp_replace(strip_accents(lower(regexp_replace(t, '[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g'))), '\p{M}+', '', 'g') t from h),
+     w as (select side, k, regexp_extract_all(t, '[\p{L}\p{N}]+') w from f),
+     g as (select distinct side, k, array_to_string(w[n:n + 7], ' ') gram from (select side, k, w, unnest(generate_series(1, len(w) - 7)) n from w))
+select distinct d.k as doc_id, i.k as item_id from g d join g i on d.side = 'd' and i.side = 'i' and d.gram = i.gram
+"""
+
+SQL = {"p4_found": P4_FOUND_SQL, "p8_found": P8_FOUND_SQL}
