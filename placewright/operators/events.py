@@ -115,3 +115,10 @@ def inhibited(alerts: DataFrame, service: str, severity: str) -> DataFrame:
     """Alerts without the warnings of services that have a critical one."""
     critical = alerts.where(F.col(severity) == "critical").select(service).distinct()
     return alerts.where(F.col(severity) == "critical").unionByName(alerts.where(F.col(severity) != "critical").join(critical, service, "left_anti").select(alerts.columns))
+
+
+def exposition(rows: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """``line``: samples in the text format that metric collectors read; a null label is empty, and special characters are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    told = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), safe(c), F.lit('"')) for c in labels))
+    return rows.select(F.concat(F.lit(f"{name}{{"), told, F.lit("} "), F.col(value).cast("string")).alias("line"))

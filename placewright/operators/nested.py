@@ -285,6 +285,13 @@ def triples(df: DataFrame, keys: dict[str, Column], payload: Column, ancestors:
     return source.mapInArrow(parse, fields + TRIPLES)
 
 
+def _map_of(entry: Column) -> Column:
+    """A map of an aggregated column of (leaf, value); where a key's records say different things of one leaf, the greatest value counts."""
+    entries = F.array_sort(F.collect_list(entry))
+    last = lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.get(a, i + 1)["leaf"] != x["leaf"]))
+    return F.map_from_entries(F.element_at(F.transform(F.array(entries), last), 1))
+
+
 def pivot_groups(found: DataFrame, keys: list[str]) -> DataFrame:
     """All groups pivoted in one go: the keys, ``ancestor``, ``pos``, ``parent_pos``, ``leaves`` (a map from leaf path to value).
 
@@ -292,7 +299,7 @@ def pivot_groups(found: DataFrame, keys: list[str]) -> DataFrame:
     makes them one before anything is shuffled.
     """
     leaf = F.when(F.col("value").isNotNull(), F.struct("leaf", "value"))
-    flat = found.groupBy(*keys, "ancestor", "pos").agg(F.map_from_entries(F.array_sort(F.collect_list(leaf))).alias("leaves"))
+    flat = found.groupBy(*keys, "ancestor", "pos").agg(_map_of(leaf).alias("leaves"))
     return flat.withColumn("parent_pos", F.slice("pos", F.lit(1), F.greatest(F.size("pos") - 1, F.lit(0))))
 
 
@@ -305,6 +312,6 @@ def pivot_group(found: DataFrame, keys: list[str], ancestor: str, columns: dict[
     cells = [F.max(F.when(F.col("leaf") == path, F.col("value"))).alias(name) for name, path in columns.items()]
     if rest:
         other = F.when(F.col("value").isNotNull() & ~F.col("leaf").isin(*columns.values()), F.struct("leaf", "value"))
-        cells.append(F.map_from_entries(F.array_sort(F.collect_list(other))).alias(rest))
+        cells.append(_map_of(other).alias(rest))
     flat = rows.groupBy(*keys, "pos").agg(*cells)
     return flat.withColumn("parent_pos", F.slice("pos", F.lit(1), F.greatest(F.size("pos") - 1, F.lit(0))))

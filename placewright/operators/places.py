@@ -44,27 +44,21 @@ def cells(scored: DataFrame, least: int = 2, names: int = 5) -> DataFrame:
 
 
 def related(places: DataFrame, links: DataFrame, seeds: DataFrame, k: int, same_city: bool) -> DataFrame:
-    """Per seed (``id``) the first ``k`` distinct names of other places that share a category, by name.
+    """Per seed (``id``) the first ``k`` distinct names of other places that share a category (and, if wanted, the city), by name.
 
-    Two hops over the bridge. Pairs of seed and name are made distinct before they are ranked, and the
-    rank keeps ``k`` per seed on the map side, so a popular category doesn't collect into one list.
+    Two hops over the bridge. The names of a category (in a city) are made few before they meet its seeds: only the
+    first ``k + 1`` can be wanted, since a seed is left out at most once. So a popular category in a large city never joins all its places with all its seeds.
     """
     seed = seeds.select(F.col("id").alias("seed")).distinct()
-    hop = links.join(seed, links.place_id == F.col("seed")).select("seed", "category_id")
+    group = ["category_id", "other_city"] if same_city else ["category_id"]
+    home = places.select(F.col("id").alias("seed"), F.col("city").alias("other_city"))
+    hop = links.join(seed, links.place_id == F.col("seed")).select("seed", "category_id").join(home, "seed").select("seed", *group)
     info = places.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("city").alias("other_city"))
-    other = links.select(F.col("place_id").alias("other"), "category_id").join(info, "other")
-    if same_city:
-        home = hop.join(places.select(F.col("id").alias("seed"), F.col("city").alias("other_city")), "seed")
-        pairs = home.join(other, ["category_id", "other_city"])
-    else:
-        # names of a category are made few before they meet its seeds: only the first k + 1 can be wanted
-        names = other.where("other_name is not null").groupBy("category_id", "other_name").agg(F.count_distinct("other").alias("n"), F.min("other").alias("other"))
-        ranked = names.withColumn("r", F.row_number().over(Window.partitionBy("category_id").orderBy("other_name"))).where(F.col("r") <= k + 1)
-        pairs = hop.join(ranked, "category_id").where((F.col("other") != F.col("seed")) | (F.col("n") > 1))
-        found = pairs.select("seed", "other_name").distinct()
-        return _first_names(seed, found, k)
-    found = pairs.where(F.col("other") != F.col("seed")).where("other_name is not null").select("seed", "other_name").distinct()
-    return _first_names(seed, found, k)
+    other = links.select(F.col("place_id").alias("other"), "category_id").join(info, "other").where("other_name is not null")
+    names = other.groupBy(*group, "other_name").agg(F.min("other").alias("other"), F.max("other").alias("last"))
+    ranked = names.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("other_name"))).where(F.col("r") <= k + 1)
+    pairs = hop.join(ranked, group).where((F.col("other") != F.col("seed")) | (F.col("last") != F.col("seed")))
+    return _first_names(seed, pairs.select("seed", "other_name").distinct(), k)
 
 
 def _first_names(seed: DataFrame, found: DataFrame, k: int) -> DataFrame:

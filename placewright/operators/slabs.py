@@ -249,7 +249,8 @@ def region_edges(regions: DataFrame) -> DataFrame:
 
         return lons.map(lambda x: x if x is None else np.unwrap(np.asarray(x, dtype=float), period=360))
 
-    rings = regions.where(F.size("ring") > 2).select("region_id", "ring").distinct().select("region_id", F.transform("ring", lambda p: p["lat"]).alias("y"), unrolled(F.transform("ring", lambda p: p["lon"])).alias("x"))
+    usable = F.forall("ring", lambda p: F.coalesce(p["lat"].between(-90, 90) & p["lon"].between(-1e6, 1e6), F.lit(False)))
+    rings = regions.where((F.size("ring") > 2) & usable).select("region_id", "ring").distinct().select("region_id", F.transform("ring", lambda p: p["lat"]).alias("y"), unrolled(F.transform("ring", lambda p: p["lon"])).alias("x"))
     y, x = F.col("y"), F.col("x")
     west, east = F.array_min("x"), F.array_max("x")
     turns = F.filter(F.array(*(F.lit(t) for t in (-360.0, 0.0, 360.0))), lambda t: (east + t >= -180) & (west + t <= 180))
@@ -263,7 +264,7 @@ def locate(points: DataFrame, regions: DataFrame, slab_deg: float = 0.05, strip_
     """The regions that contain each point: ``id``, ``region_id``.
 
     ``points``: ``id``, ``lat``, ``lon``; ``regions``: ``region_id``, ``ring`` (array of ``lat``, ``lon``; closed or
-    not, any direction, may be concave, may overlap others). Rows of one region are its rings: parts, or holes.
+    not, any direction, may be concave, may overlap others; one with a missing or impossible corner is left out). Rows of one region are its rings: parts, or holes.
     Edges are half open in latitude, so a point on a shared edge of two regions is in one of them. A ring may cross the
     antimeridian (no side is half the globe long), but not go round a pole. An edge goes to the strips from its own to its ring's
     eastern end, so a strip knows all edges to the west that count. A slab and strip with more than

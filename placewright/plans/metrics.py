@@ -99,6 +99,13 @@ def metric_counters(spark, d):
     return rows.groupBy("topic", "event_type", "city").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("selected_place_count"), F.lit(0)).alias("selected"))
 
 
+@query("metric_exposition", f"with {MS}, c as (select topic, city, count(*) n from ms group by topic, city) select 'consumed_events_total{{topic=\"' || topic || '\",city=\"' || coalesce(city, '') || '\"}} ' || n as line from c")
+def metric_exposition(spark, d):
+    """The consumed messages by topic and city as lines for a metric collector."""
+    counts = messages(spark, d, "city").groupBy("topic", "city").agg(F.count(F.lit(1)).alias("n"))
+    return E.exposition(counts, "consumed_events_total", ["topic", "city"], "n")
+
+
 @query("metric_gauges", f"with {MS} select city, max_by(temperature_2m, {{t: event_time, i: id}}) as temperature_2m from ms where temperature_2m is not null and city is not null and event_time is not null group by city")
 def metric_gauges(spark, d):
     rows = messages(spark, d, "city", "event_time", "temperature_2m").where("city is not null and event_time is not null")

@@ -443,6 +443,21 @@ def graph_edges(spark, d):
     return located.unionByName(named_links(spark, d).select(F.lit("HAS_CATEGORY").alias("kind"), F.col("place_id").alias("source"), F.col("category").alias("target")))
 
 
+@query("graph_merge", f"with {PL}, st as (select id from pl where neo4j_synced_at is null or updated_at > neo4j_synced_at) select 'LOCATED_IN' as kind, id as source, case when id in (select id from st) then city else region end as target from pl where case when id in (select id from st) then city else region end is not null")
+def graph_merge(spark, d):
+    """An older graph, in which places lie in regions, after the places that changed since it was written lie in their cities."""
+    p = places(spark, d)
+    edge = lambda df, c: df.where(F.col(c).isNotNull()).select(F.lit("LOCATED_IN").alias("kind"), F.col("id").alias("source"), F.col(c).alias("target"))
+    changed = changes.stale(p, "updated_at", "neo4j_synced_at")
+    return changes.replace_children(edge(p, "region"), edge(changed, "city"), changed.select(F.col("id").alias("source")), "source")
+
+
+@query("sync_marked", f"with {PL} select id, case when gold_pg_synced_at is null or updated_at > gold_pg_synced_at then timestamp '2025-06-01 00:00:00' else gold_pg_synced_at end as gold_pg_synced_at from pl")
+def sync_marked(spark, d):
+    now = F.lit("2025-06-01 00:00:00").cast("timestamp_ntz")
+    return changes.marked(places(spark, d), "updated_at", "gold_pg_synced_at", now).select("id", "gold_pg_synced_at")
+
+
 REL = "{PL}, sd as (select * from pl where lower(city) = 'mailoconair'), l as (select distinct place_id, category_id from silver_place_categories), f as (select distinct sd.id, o.name from sd join l a on a.place_id = sd.id join l b on b.category_id = a.category_id and b.place_id <> a.place_id join pl o on o.id = b.place_id{city} where o.name is not null), r as (select *, row_number() over (partition by id order by name) r from f), g as (select id, array_to_string(list(name order by name), '|') x from r where r <= 3 group by id) select sd.id, coalesce(x, '') as related from sd left join g on g.id = sd.id"
 
 

@@ -74,8 +74,8 @@ def test_locate_equals_ray_casting(spark, group_rows, slab, strip):
     pts = [(i, y, (x + 180) % 360 - 180) for i, y, x in pts]
     star = [(45 + (2 if k % 2 else 0.7) * math.sin(k * math.pi / 7), 5 + (4 if k % 2 else 1) * math.cos(k * math.pi / 7)) for k in range(14)]
     rings = [*core.RINGS.items(), ("star", star), ("star", [(45, 4.8), (45.3, 5), (45, 5.2), (44.8, 5)]), ("over", [(-18, 175), (-12, 178), (-11, -174), (-17, -172)]), ("far", [(-16, 188.5), (-13, 172), (-19, 180.0)]), ("bow", [(43, 1), (47, 9), (43, 9), (47, 1)])]
-    rings += [("flat", [(1, 1), (1, 2)]), *((f"box{k}", [(43 + k / 10, 2), (43 + k / 10, 3), (43.1 + k / 10, 3), (43.1 + k / 10, 2)]) for k in range(20))]
-    want = _cast([r for r in rings if len(r[1]) > 2], pts)
+    rings += [("flat", [(1, 1), (1, 2)]), ("torn", [(40, 0), (50, 0), (float("nan"), 10), (40, 10)]), *((f"box{k}", [(43 + k / 10, 2), (43 + k / 10, 3), (43.1 + k / 10, 3), (43.1 + k / 10, 2)]) for k in range(20))]
+    want = _cast([r for r in rings if len(r[1]) > 2 and r[0] != "torn"], pts)
     df = spark.createDataFrame([(k, [{"lat": float(a), "lon": float(o)} for a, o in v]) for k, v in [*rings, rings[0]]], "region_id string, ring array<struct<lat:double,lon:double>>")
     got = [tuple(r) for r in slabs.locate(spark.createDataFrame([*pts, ("n", None, 1.0)], "id string, lat double, lon double"), df, slab, strip, group_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {k for _, k in want} >= {"north", "south", "east", "star", "over", "far", "bow", "box3"}
@@ -149,6 +149,13 @@ def test_nested_tables(spark):
     assert nested.triples(rec.limit(0), {"rec": F.col("rec")}, F.col("value")).count() == 0
 
 
+def test_records_with_one_key(spark):
+    df = spark.createDataFrame([(None, '{"a": [{"x": 1}]}'), (None, '{"a": [{"x": 2, "y": 3}]}'), (1, '{"a": {"x": 1}}'), (1, '{"a": {"x": 1}}')], "id int, t string")
+    found = nested.triples(df, {"id": F.col("id")}, F.col("t"), ["a[]"])
+    assert {(r.id, *r.leaves.items()) for r in nested.pivot_groups(found, ["id"]).collect()} == {(None, ("x", "2"), ("y", "3")), (1, ("x", "1"))}
+    assert {(r.id, r.x, *r.other.items()) for r in nested.pivot_group(found, ["id"], "a[]", {"x": "x"}, "other").collect()} == {(None, "2", ("y", "3")), (1, "1")}
+
+
 def test_repeated_names_are_found(spark, monkeypatch):
     docs = [{"a": {"b": {"x": 1}}, "n": {"m": {"y": 2}}}, {"a": [{"b": {"x": 3}}]}, {"a": {"b": [{"x": 4}, {"x": 5}]}}, {"l": [1]}]
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "id int, t string")

@@ -262,6 +262,17 @@ def test_gold_keeps_what_it_has(spark, tmp_path):
     assert changes.replace_unless_empty(rows.limit(1), out) and spark.read.parquet(out).count() == 1
 
 
+def test_exposition(spark):
+    df = spark.createDataFrame([("a\\b", 'x"y\nz', 3), (None, "", 4)], "k string, l string, n int")
+    assert [r.line for r in events.exposition(df, "m", ["k", "l"], "n").collect()] == ['m{k="a\\\\b",l="x\\"y\\nz"} 3', 'm{k="",l=""} 4']
+
+
+def test_an_empty_table_keeps_its_schema(spark, tmp_path):
+    df = spark.createDataFrame([], "id string, n int")
+    df.write.parquet(f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").dtypes == df.dtypes
+
+
 def test_wanted_or_all(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "city string, id int")
     assert sorted(r.id for r in planner.wanted_or_all(df, ["city"], F.col("id") == 2).collect()) == [2, 3, 4]
