@@ -10,8 +10,7 @@
 * Item passages are indexed by random hyperplanes in the latent space: in each of several tables a passage falls
   into the bucket of its signs. The number of bits follows the number of item passages, and the number of tables
   is what finds a passage at the wanted cosine with probability ``RECALL``. Corpus passages look up their buckets, so no passage is compared
-  with all others; ``SKETCH`` more signs tell most of those apart that only share a bucket. The signs are those of whole numbers, computed exactly, so equal passages
-  always share a bucket and all signs.
+  with all others. The signs are those of whole numbers, computed exactly, so equal passages always share a bucket.
 * Candidates at the wanted cosine are checked: for leaks the words must be the same in the same order;
   for paraphrases the longest common subsequence must reach ``least`` words and
   hold the item passage's most telling word (the answer check).
@@ -38,7 +37,6 @@ BLOCK_PASSAGES = 500_000
 LATENT_WORDS = 200_000
 RANK, EXTRA, POWERS = 48, 8, 2
 RECALL = 0.97
-SKETCH = 256
 EXACT = 0.999
 
 
@@ -254,33 +252,32 @@ def _project(words, terms):
 
 
 class Buckets:
-    """Random-projection buckets: for each table a number of ``bits`` signs."""
+    """Random-projection buckets: for each table a number of ``bits`` signs.
+
+    Buckets of some dozens of passages are compared as blocks, which costs less than the tables that smaller ones would take;
+    where only equal passages are wanted, one table does, and its buckets are as small as they can be.
+    """
 
     def __init__(self, terms, passages: int, cosine: float):
         import math
 
         import numpy as np
 
-        self.bits = max(1, min(30, math.ceil(math.log2(passages + 1))))
+        digits = math.ceil(math.log2(passages + 1))
+        self.bits = max(1, min(30, digits + 6 if cosine >= EXACT else digits - 6))
         same = (1 - math.acos(min(1.0, cosine)) / math.pi) ** self.bits
         self.tables = 1 if cosine >= EXACT else max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)))
         # whole numbers, whose sums are exact in whatever order they are added
         scale = 2.0**20 / max(float(np.abs(terms).max(initial=0)), 1e-12)
         self.terms = np.rint(terms.astype(np.float64) * scale)
-        draw = np.random.default_rng(11)
-        self.planes = draw.choice([-1.0, 1.0], size=(terms.shape[1], self.bits * self.tables))
-        self.more = draw.choice([-1.0, 1.0], size=(terms.shape[1], SKETCH))
-        # of so many signs, this many differ between passages at the wanted cosine, and four deviations more
-        apart = math.acos(min(1.0, cosine)) / math.pi
-        self.most = {n: int(n * apart + 4 * math.sqrt(n * apart * (1 - apart))) for n in (64, SKETCH)}
+        self.planes = np.random.default_rng(11).choice([-1.0, 1.0], size=(terms.shape[1], self.bits * self.tables))
 
     def codes(self, words):
-        """The bucket of each passage in each table, and the signs that tell more."""
+        """The bucket of each passage in each table."""
         import numpy as np
 
-        x = _gathered(words % len(self.terms), self.terms)
-        sides = (x @ self.planes >= 0).reshape(len(words), self.tables, self.bits)
-        return sides @ (1 << np.arange(self.bits, dtype=np.int64)), np.ascontiguousarray(np.packbits(x @ self.more >= 0, axis=1).view(np.uint64).T)
+        sides = (_gathered(words % len(self.terms), self.terms) @ self.planes >= 0).reshape(len(words), self.tables, self.bits)
+        return sides @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
 def _common(a, b):
@@ -302,7 +299,7 @@ class Index:
         import numpy as np
 
         self.cosine, self.terms, self.buckets = cosine, terms, Buckets(terms, len(words), cosine)
-        codes, self.signs = self.buckets.codes(words)
+        codes = self.buckets.codes(words)
         self.order = [np.argsort(codes[:, t], kind="stable") for t in range(self.buckets.tables)]
         self.codes = [codes[o, t] for t, o in enumerate(self.order)]
         self.vectors, self.none = _project(words, terms)
@@ -311,36 +308,30 @@ class Index:
         """Pairs (passage of ``words``, item passage) that share a bucket and reach the cosine, each once, and their cosines."""
         import numpy as np
 
-        codes, signs = self.buckets.codes(words)
+        codes = self.buckets.codes(words)
         x, none = _project(words, self.terms)
         size = max(1, len(self.none))
-        seen = [np.empty(0, dtype=np.int64)]
+        seen, near = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.float32)]
         for t in range(self.buckets.tables):
-            begin, end = (np.searchsorted(self.codes[t], codes[:, t], side) for side in ("left", "right"))
-            width = end - begin
-            ends, at = np.cumsum(width), 0
-            while at < len(words):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
-                w = width[at:stop]
-                total = int(w.sum())
-                if total:
-                    p = np.repeat(np.arange(at, stop), w)
-                    m = self.order[t][np.arange(total) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[at:stop], w)]
-                    differ = np.bitwise_count(signs[0][p] ^ self.signs[0][m])
-                    alike = differ <= self.buckets.most[64]
-                    p, m, differ = p[alike], m[alike], differ[alike].astype(np.int16)
-                    for mine, other in zip(signs[1:], self.signs[1:], strict=True):
-                        differ += np.bitwise_count(mine[p] ^ other[m])
-                    alike = differ <= self.buckets.most[SKETCH]
-                    seen.append(p[alike] * size + m[alike])
-                at = stop
-        pairs = np.sort(np.concatenate(seen))
-        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        p, m = pairs // size, pairs % size
-        cosines = np.concatenate([np.empty(0, dtype=np.float32), *(np.einsum("ij,ij->i", x[p[k : k + 500_000]], self.vectors[m[k : k + 500_000]]) for k in range(0, len(p), 500_000))])
-        cosines[none[p] & self.none[m]] = 1
-        ok = cosines >= self.cosine
-        return p[ok], m[ok], cosines[ok]
+            mine = np.argsort(codes[:, t], kind="stable")
+            own = codes[mine, t]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, dtype=int)
+            begin, end = (np.searchsorted(self.codes[t], own[first], side) for side in ("left", "right"))
+            for k in np.flatnonzero(end > begin):
+                here = mine[first[k] : first[k + 1] if k + 1 < len(first) else len(own)]
+                step = max(1, 4_000_000 // int(end[k] - begin[k]))
+                there = self.order[t][begin[k] : end[k]]
+                for part in (here[i : i + step] for i in range(0, len(here), step)):
+                    block = x[part] @ self.vectors[there].T
+                    if none[part].any():
+                        block[np.ix_(none[part], self.none[there])] = 1
+                    p, m = np.nonzero(block >= self.cosine)
+                    seen.append(part[p] * size + there[m])
+                    near.append(block[p, m])
+        pairs, near = np.concatenate(seen), np.concatenate(near)
+        order = np.argsort(pairs, kind="stable")
+        order = order[np.diff(pairs[order], prepend=-1) > 0]
+        return pairs[order] // size, pairs[order] % size, near[order]
 
 
 def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> DataFrame:
@@ -359,8 +350,8 @@ def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> Da
         for batch in batches:
             theirs, row = _passages(batch.column(1))
             best: dict = {}
-            for begin in range(0, len(theirs), 5_000):
-                part = theirs[begin : begin + 5_000]
+            for begin in range(0, len(theirs), 10_000):
+                part = theirs[begin : begin + 10_000]
                 p, m, near = index.near(part)
                 if least >= SPAN:
                     ok = (part[p] == words[m]).all(axis=1)
