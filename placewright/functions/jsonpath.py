@@ -74,7 +74,7 @@ def first_value(v: Column, paths: list[str]) -> Column:
 
 def members(v: Column) -> Column:
     """A list's elements; a lone value is a list of one; none for null."""
-    return _bound(v, lambda x: F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")).when(~F.is_variant_null(x), F.array(x)).otherwise(F.array().cast("array<variant>")))
+    return _bound(v, lambda x: F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")).when(x.isNotNull() & ~F.is_variant_null(x), F.array(x)).otherwise(F.array().cast("array<variant>")))
 
 
 def strings(v: Column) -> Column:

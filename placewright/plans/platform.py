@@ -8,6 +8,7 @@ from placewright.functions.text import clean_text, latest
 from placewright.operators import changes, places as P, quality
 from placewright.plans.base import OK, PC, PL, avg_to, categories, joined, links, named_links, places, usable
 from placewright.plans.cut import scratch
+from placewright.sources import models
 from placewright.sources.tables import path_exists, table, views
 
 QUERIES, SQL = {}, {}
@@ -480,6 +481,33 @@ def avg_related(spark, d):
     return r.agg(F.coalesce(F.round(F.avg(F.size("related")), 6), F.lit(0.0)).alias("avg_related"))
 
 
+# --- models ------------------------------------------------------------------------------------
+
+#: Staging views and two stored marts.
+MODELS = {
+    "stg_place": "select id as place_id, city, region from {places} where id is not null",
+    "stg_link": "select distinct place_id, category_id from {links} where place_id is not null and category_id is not null",
+    "stg_category": "select id as category_id, name as category from {categories}",
+    "mart_category": "select category, count(*) as places from {stg_link} join {stg_category} using (category_id) group by category",
+    "mart_city": "select city, count(distinct p.place_id) as places, count(distinct category) as categories from {stg_place} p left join {stg_link} l on l.place_id = p.place_id left join {stg_category} c on c.category_id = l.category_id where city is not null group by city",
+}
+
+
+def _built(spark, d):
+    sources = {"places": places(spark, d), "links": table(spark, d, "silver_place_categories"), "categories": categories(spark, d)}
+    return models.build(spark, sources, MODELS, {"mart_category", "mart_city"}, scratch(spark, "models"))
+
+
+@query("mart_city", f"with {PL}, {PC} select city, count(distinct id) as places, count(distinct category) as categories from pl left join pc on pc.place_id = id where city is not null group by city")
+def mart_city(spark, d):
+    return _built(spark, d)["mart_city"]
+
+
+@query("mart_category", f"with {PC} select category, count(*) as places from pc group by category")
+def mart_category(spark, d):
+    return _built(spark, d)["mart_category"]
+
+
 # --- data quality ------------------------------------------------------------------------------
 
 NN = ("id", "name", "lat", "lon", "city", "address", "postal_code", "website", "updated_at", "description")

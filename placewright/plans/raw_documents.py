@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from placewright.functions import jsonpath as J
-from placewright.functions.scalars import try_number
+from placewright.functions.scalars import file_name_of, try_number
 from placewright.operators import documents as D, events as E
 from placewright.plans.cut import scratch
 from placewright.plans.core_problems import delivered
@@ -175,6 +175,29 @@ def snapshot_skip(spark, d):
     return archives.unchanged(remote, known)
 
 
+@query("metadata_merge", "with f as (select snapshot_no s, source_file archive, count(*) n, max(content_hash) h from bronze_raw_poi where source_file is not null group by 1, 2), o as (select archive, n as lines, h as etag from f where s = 3), w as (select archive, n as lines, case when n % 2 = 0 then h end as etag from f where s = 4) select archive, coalesce(w.lines, o.lines) as lines, coalesce(w.etag, o.etag) as etag from o full join w using (archive)")
+def metadata_merge(spark, d):
+    """The notes of the archives: what a delivery says, and what it doesn't say from the one before."""
+    files = table(spark, d, "bronze_raw_poi").where("source_file is not null").groupBy("snapshot_no", F.col("source_file").alias("archive")).agg(F.count(F.lit(1)).alias("lines"), F.max("content_hash").alias("etag"))
+    new = files.where("snapshot_no = 4").select("archive", "lines", F.when(F.col("lines") % 2 == 0, F.col("etag")).alias("etag"))
+    return archives.merged_metadata(files.where("snapshot_no = 3").select("archive", "lines", "etag"), new, "archive").select("archive", "lines", "etag")
+
+
+@query("header_file_name", "select distinct source_file as header, nullif(regexp_extract(source_file, '([^/]+)$', 1), '') as file_name from bronze_raw_poi where source_file is not null")
+def header_file_name(spark, d):
+    """The file name that a Content-Disposition header tells."""
+    files = table(spark, d, "bronze_raw_poi").where("source_file is not null").select("source_file").distinct()
+    header = F.concat(F.lit('attachment; FileName="'), F.substring_index("source_file", "/", -1), F.lit('"'))
+    return files.select(F.col("source_file").alias("header"), file_name_of(header).alias("file_name"))
+
+
+@query("list_sizes", f"with {DELIVERED}, x as (select id, {_at('v', 'offers', 'a')}, {_at('v', '@type', 'b')} from dc) select id, coalesce(len({_members('a')}), 0) as offers, coalesce(len({_members('b')}), 0) as types from x")
+def list_sizes(spark, d):
+    """How many members each list has; a lone value is a list of one, and what is missing has none."""
+    size = lambda p: F.greatest(F.size(F.coalesce(J.members(J.at(F.col("v"), p)), F.array().cast("array<variant>"))), F.lit(0)).cast("bigint")
+    return docs(spark, d).select("id", size("offers").alias("offers"), size("@type").alias("types"))
+
+
 def _messages(spark, d):
     """The event table as messages in files, for streams to read."""
     out = scratch(spark, "messages")

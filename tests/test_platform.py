@@ -15,7 +15,7 @@ from placewright.functions import scalars as S
 from placewright.functions.text import clean_text, fold, strip
 from placewright.operators import changes, documents, events, places, planner, quality
 from placewright.plans import cut, raw_documents
-from placewright.sources import archives, config, weather
+from placewright.sources import archives, config, models, weather
 from placewright.streaming import intake
 
 
@@ -262,6 +262,15 @@ def test_gold_keeps_what_it_has(spark, tmp_path):
     assert changes.replace_unless_empty(rows.limit(1), out) and spark.read.parquet(out).count() == 1
 
 
+def test_models(spark, tmp_path):
+    src = {"rows": spark.range(4)}
+    got = models.build(spark, src, {"b": "select sum(id) as s from {a}", "a": "select id from {rows} where id > 1"}, {"b"}, str(tmp_path))
+    assert got["b"].collect()[0].s == 5 and (tmp_path / "b").exists() and not (tmp_path / "a").exists()
+    for bad in ({"a": "select * from {nope}"}, {"a": "select * from {b}", "b": "select * from {a}"}, {"rows": "select 1"}):
+        with pytest.raises(ValueError, match="circle|unknown"):
+            models.build(spark, src, bad, set(), str(tmp_path))
+
+
 def test_exposition(spark):
     df = spark.createDataFrame([("a\\b", 'x"y\nz', 3), (None, "", 4)], "k string, l string, n int")
     assert [r.line for r in events.exposition(df, "m", ["k", "l"], "n").collect()] == ['m{k="a\\\\b",l="x\\"y\\nz"} 3', 'm{k="",l=""} 4']
