@@ -106,17 +106,24 @@ def try_numeric(spark, d):
     return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.max(S.try_number(F.col("w"))).alias("number"))
 
 
-@query("try_date", "select doc_id, try_cast(substr(w, 1, 10) as date) as day from (select doc_id, case when doc_id % 3 = 0 then cast(published_at as varchar) when doc_id % 3 = 1 then strftime(published_at, '%Y-%d-%m') else title end w from documents) where regexp_matches(w, '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$')")
+WRITTEN = "wr as (select id, 'updated' source, strftime(updated_at, '%Y-%m-%dT%H:%M:%S') w from silver_places union all select id, 'swapped', strftime(updated_at, '%Y-%d-%m') from silver_places union all select id, 'clock', strftime(updated_at, '%H:%M') from silver_places union all select id, 'seconds', strftime(updated_at, '%H:%M:%S') from silver_places union all select id, 'postal', postal_code from silver_places)"
+
+
+def _written(spark, d):
+    """Times in several writings, and postal codes, as texts."""
+    forms = {"updated": "yyyy-MM-dd'T'HH:mm:ss", "swapped": "yyyy-dd-MM", "clock": "HH:mm", "seconds": "HH:mm:ss"}
+    pairs = F.array(*(F.struct(F.lit(k).alias("source"), F.date_format("updated_at", f).alias("w")) for k, f in forms.items()), F.struct(F.lit("postal").alias("source"), F.col("postal_code").alias("w")))
+    return table(spark, d, "silver_places").select("id", F.explode(pairs).alias("x")).select("id", "x.*").distinct()
+
+
+@query("try_date", f"with {WRITTEN} select distinct id, source, w, case when regexp_matches(trim(w, ' '), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T.*)?$') then try_cast(substr(trim(w, ' '), 1, 10) as date) end as day from wr")
 def try_date(spark, d):
-    w = F.when(F.col("doc_id") % 3 == 0, F.col("published_at").cast("string")).when(F.col("doc_id") % 3 == 1, F.date_format("published_at", "yyyy-dd-MM")).otherwise(F.col("title"))
-    return table(spark, d, "documents").select("doc_id", w.alias("w")).where(F.col("w").rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")).select("doc_id", S.try_iso_date(F.col("w")).alias("day"))
+    return _written(spark, d).select("id", "source", "w", S.try_iso_date(F.col("w")).alias("day"))
 
 
-@query("try_time", "select doc_id, case when doc_id % 4 = 0 then strftime(published_at, '%H:%M:%S') when doc_id % 4 = 1 then strftime(published_at, '%H:%M') || ':00' end as clock from documents")
+@query("try_time", f"with {WRITTEN} select distinct id, source, w, case source when 'updated' then substr(w, 12, 8) when 'clock' then w || ':00' when 'seconds' then w end as clock from wr")
 def try_time(spark, d):
-    p, n = F.col("published_at"), F.col("doc_id") % 4
-    w = F.when(n == 0, F.date_format(p, "HH:mm:ss")).when(n == 1, F.date_format(p, "HH:mm")).when(n == 2, F.concat(F.lit("2"), F.date_format(p, "HH:mm"))).otherwise("99:99")
-    return table(spark, d, "documents").select("doc_id", S.try_clock(w).alias("clock"))
+    return _written(spark, d).select("id", "source", "w", S.try_clock(F.col("w")).alias("clock"))
 
 
 @query("default_projection", f"with {PL} select id, coalesce(nullif(name, ''), 'Unknown POI') as name, coalesce(nullif(city, ''), 'Unknown City') as city from pl")
