@@ -42,32 +42,38 @@ def round_robin(places: DataFrame, group: list[str], order: list[Column], days:
 
 
 def kmeans_days(places: DataFrame, k: int, starts: int = 10) -> DataFrame:
-    """Days by K-means on degrees, the best of several starts (Spark ML); days are numbered by their centre's coordinates."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    """Days by K-means on degrees, the best of several starts, all of which move at once: ``day``, ``d2`` (squared degrees to the day's centre).
 
-    ready = VectorAssembler(inputCols=["lat", "lon"], outputCol="__x", handleInvalid="skip").transform(places)
-    if k < 2 or ready.isEmpty():
-        return ready.drop("__x").withColumn("day", F.lit(1)).withColumn("d2", F.lit(0.0))
-    models = [KMeans(k=k, seed=42 + s, featuresCol="__x").fit(ready) for s in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centers = sorted(tuple(map(float, c)) for c in best.clusterCenters())
-    return nearest_center(ready.drop("__x"), centers)
+    Rows without coordinates are left out; days are numbered by their centre's coordinates.
+    """
+    ready = places.dropna(subset=["lat", "lon"]).where(~F.isnan("lat") & ~F.isnan("lon"))
+    if k < 2:
+        return ready.withColumn("day", F.lit(1)).withColumn("d2", F.lit(0.0))
+    found = kmeans_centers(ready.withColumn("__g", F.lit(1)), "__g", k, starts).first()  # one row
+    if found is None:
+        return ready.withColumn("day", F.lit(1)).withColumn("d2", F.lit(0.0))
+    centers = [(found[f"a{j}"], found[f"o{j}"]) for j in range(k) if found[f"a{j}"] is not None]
+    return nearest_center(ready, centers)
+
+
+def _distances(k: int) -> tuple[list[Column], Column, Column]:
+    """Squared degrees to each of ``k`` centres (``a0``, ``o0`` and so on), the least, and the first centre that has it; missing centres are null, which least passes over."""
+    d2 = [F.pow(F.col("lat") - F.col(f"a{j}"), 2) + F.pow(F.col("lon") - F.col(f"o{j}"), 2) for j in range(k)]
+    least = F.least(*d2) if k > 1 else d2[0]
+    return d2, least, F.coalesce(*(F.when(d == least, j) for j, d in enumerate(d2)))
 
 
-def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, rounds: int = 50, small: int = 100_000) -> DataFrame:
-    """K-means days for many groups at once, the best of several starts: ``group``, ``id``, ``day``.
+def kmeans_centers(places: DataFrame, group: str, k: int, starts: int = 10, rounds: int = 50, small: int = 100_000) -> DataFrame:
+    """K-means centres of many groups at once, the best of several starts: ``group``, ``a0``, ``o0`` and so on, in the order of their coordinates.
 
     Every row of every group counts. Equal points are taken together with their number, and each round of
     Lloyd's iterations is one aggregation over all points, groups and starts that still move, so a group of any
     size is summed in parts by many tasks. Centres are broadcast as long as they are at most ``small`` rows.
-    Starts are ``k`` distinct points, the first by a hash; days are numbered by their centre's coordinates.
+    Starts are ``k`` distinct points, the first by a hash; a group of fewer points lacks the last centres.
     """
     numbers = range(k)
     near = lambda df: F.broadcast(df) if df.count() <= small else df
-    d2 = [F.pow(F.col("lat") - F.col(f"a{j}"), 2) + F.pow(F.col("lon") - F.col(f"o{j}"), 2) for j in numbers]
-    least = F.least(*d2) if k > 1 else d2[0]
-    day = F.coalesce(*(F.when(d == least, j) for j, d in enumerate(d2)))  # missing centres are null, which least passes over
+    _, least, day = _distances(k)
 
     usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
     points = cut(places.where(F.col(group).isNotNull() & usable).groupBy(F.col(group).alias("g"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).agg(F.count(F.lit(1)).alias("w")))
@@ -99,8 +105,15 @@ def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, ro
     # the centres in the order of their coordinates; those that a group of few points lacks are left out
     ordered = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"a{j}").alias("lat"), F.col(f"o{j}").alias("lon")) for j in numbers)), lambda c: c["lat"].isNotNull()))
     best = settled.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("cost", "s")).alias("b")).select(F.col("g").alias(group), "b.*").withColumn("c", ordered)
-    best = cut(best.select(group, *(F.get("c", F.lit(j))[x].alias(f"{n}{j}") for j in numbers for n, x in (("a", "lat"), ("o", "lon")))))
-    return places.select(group, "id", "lat", "lon").join(near(best), group).select(group, "id", (day + 1).alias("day"))
+    return cut(best.select(group, *(F.get("c", F.lit(j))[x].alias(f"{n}{j}") for j in numbers for n, x in (("a", "lat"), ("o", "lon")))))
+
+
+def kmeans_per_group(places: DataFrame, group: str, k: int, starts: int = 10, rounds: int = 50, small: int = 100_000) -> DataFrame:
+    """K-means days for many groups at once: ``group``, ``id``, ``day``."""
+    best = kmeans_centers(places, group, k, starts, rounds, small)
+    if best.count() <= small:
+        best = F.broadcast(best)
+    return places.select(group, "id", "lat", "lon").join(best, group).select(group, "id", (_distances(k)[2] + 1).alias("day"))
 
 
 def weather_suits(outdoor: Column, rain: Column, precipitation: Column, code: Column, wind: Column) -> Column:
