@@ -19,9 +19,15 @@ def changed_only(old: DataFrame, new: DataFrame, key: str | list[str], digest: s
 
 
 def merge(old: DataFrame, new: DataFrame, key: str, digest: str, touched: str, stamp: Column) -> DataFrame:
-    """Upsert by hash: unchanged rows keep the old row, others take the new one with ``touched`` set."""
-    changed = changed_only(old, new, key, digest).withColumn(touched, stamp)
-    return upsert(old, changed, key)
+    """Upsert by hash: unchanged rows keep the old row, others take the new one with ``touched`` set.
+
+    One full outer join reads either side once, so a chain of merges stays as long as it has links.
+    """
+    side = lambda df, name: df.select(F.col(key).alias(f"__{name}"), F.struct(*old.columns).alias(name))
+    fresh = new.withColumn(touched, stamp)
+    both = side(old, "o").join(side(fresh, "n"), F.col("__o") == F.col("__n"), "full_outer")
+    same = F.col("n").isNull() | (F.col("o").isNotNull() & F.col(f"o.`{digest}`").eqNullSafe(F.col(f"n.`{digest}`")))
+    return both.select(F.when(same, F.col("o")).otherwise(F.col("n")).alias("x")).select(*(F.col(f"x.`{c}`").alias(c) for c in old.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
