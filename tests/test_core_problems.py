@@ -301,3 +301,22 @@ def test_nested_tables_hold_all_leaves_and_parents(spark, root):
     at = {a: {(r["id"], r["pos_path"]) for r in rs} for a, rs in rows.items()}
     for child, parent in ((core.PRICE, core.OFFER), (core.AUDIENCE, core.PRICE), (core.ADDRESS, core.LOCATION)):
         assert {(r["id"], r["parent_path"]) for r in rows[child]} <= at[parent] and rows[child]
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    n = 6000
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(hot, "Paris ").otherwise(F.concat(F.lit("c"), F.col("id") % 100)).alias("city"), F.when(hot, 45.0).otherwise(40 + F.col("id") / 1000).alias("lat"), F.when(hot, 3.0).otherwise(2 + F.col("id") / 1000).alias("lon"))
+    key = text.city_key(F.col("city"))
+    found = eager.heavy_keys(rows, rows, key, key, ("a", "b"), 0.03).collect()
+    assert sorted((r.table_name, r.k, r.n, r.join_rows) for r in found) == [("a", "paris", 2000, 4_000_000), ("b", "paris", 2000, 4_000_000)]
+    links = slabs.near_links(rows, "id", "lat", "lon", 30.0)
+    assert {(r.copies, r.links, r.n) for r in links.groupBy("copies", "links").agg(F.count("*").alias("n")).collect()} == {(2000, 0, 2000), (1, 0, 4000)}
+    # one key delivered again and again, with other arrivals
+    twice = spark.range(n).select((F.col("id") % 2 + 1).cast("int").alias("s"), F.when(hot, "k").otherwise(F.col("id").cast("string")).alias("id"), (F.col("id") % 7).cast("string").alias("h"), F.timestamp_seconds("id").alias("at"))
+    kinds = snapshots.snapshot_changes(twice, "s", "id", F.col("h"), "at").groupBy("change_kind").count().collect()
+    last = [max(i for i in range(n) if i % 3 == 0 and i % 2 == odd) % 7 for odd in (0, 1)]
+    assert {r.change_kind: r["count"] for r in kinds} == {"added": 2000, "removed": 2000, **({"changed": 1} if last[0] != last[1] else {})}
+    box = spark.createDataFrame([("r", [{"lat": a, "lon": o} for a, o in ((44.0, 2.0), (46.0, 2.0), (46.0, 4.0), (44.0, 4.0))])], "region_id string, ring array<struct<lat:double,lon:double>>")
+    want = sum(1 for i in range(n) if i % 3 == 0 or (44 <= 40 + i / 1000 < 46 and 2 <= 2 + i / 1000 < 4))
+    assert slabs.locate(rows, box, group_rows=300).count() == want
