@@ -168,3 +168,16 @@ def test_two_edits_at_a_number(spark):
     columns = ", ".join(f"{c} {'int' if c == 'number' else 'string'}" for c in addresses.RECORD)
     got = {r.number: r.own_name for r in addresses.settled(spark.createDataFrame(rows, f"{columns}, n int, street_n int")).where("name <> own_name").collect()}
     assert got == {k: a for k, (a, b) in enumerate(zip(right, wrong, strict=True)) if a != b and min(len(a), len(b)) >= 8} | {k: a for k, (a, b) in enumerate(zip(right, wrong, strict=True)) if a != b and min(len(a), len(b)) < 8 and _apart(a, b) == 1}
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    n, hot = 3000, F.col("id") % 3 == 0
+    same = F.when(hot, "12 bis Rue du Maréchal Fitrudrabout").otherwise(F.concat((F.col("id") % 50 + 1).cast("string"), F.lit(" Rue "), F.translate((F.col("id") + 10_000).cast("string"), "0123456789", "abcdefghij"), F.lit("ville")))
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), same.alias("address"), F.lit("01234").alias("postal_code"), F.lit("Vouglai").alias("city"))
+    got = addresses.resolved(rows).groupBy("number", "suffix", "name").agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
+    assert (got.number, got.suffix, got.name, got.n) == (12, "bis", "fitrudrabout", 1000)
+    words = F.when(hot, "one two three four five six").otherwise(F.concat(F.lit("one two three four five w"), F.col("id"), F.lit(" x"), F.col("id")))
+    listed = near_dup.columns_as_words(spark.range(n).withColumn("t", words), "id", F.col("t"))
+    found = {(r.copies, r.links, r.n) for r in near_dup.near_duplicate_links(listed, cold=10).groupBy("copies", "links").agg(F.count("*").alias("n")).collect()}
+    # five shared words of eight are 0.625 with the hot set, five of nine are 0.556 among the others
+    assert found == {(1000, 2000, 1000), (1, 1, 2000)}
