@@ -349,6 +349,12 @@ def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> Da
         telling = words[np.arange(len(words)), np.argmax(idf[words], axis=1)]
         for batch in batches:
             theirs, row = _passages(batch.column(1))
+            # a passage that many documents have is looked up once
+            order = np.lexsort(theirs.T)
+            theirs, row = theirs[order], row[order]
+            new = np.ones(len(theirs), dtype=bool)
+            new[1:] = (theirs[1:] != theirs[:-1]).any(axis=1)
+            theirs, holders = theirs[new], np.r_[np.flatnonzero(new), len(row)]
             best: dict = {}
             for begin in range(0, len(theirs), 10_000):
                 part = theirs[begin : begin + 10_000]
@@ -361,9 +367,10 @@ def search(found: DataFrame, block, terms, idf, cosine: float, least: int) -> Da
                     p, m, near = p[telltale], m[telltale], near[telltale]
                     length = _common(part[p], words[m])
                     ok = length >= least
-                for r, q, n, c in zip(row[begin + p[ok]].tolist(), m[ok].tolist(), length[ok].tolist(), near[ok].tolist(), strict=True):
-                    for i in item[first[q] : first[q + 1]].tolist():
-                        best[r, i] = max(best.get((r, i), (0, 0.0)), (n, c))
+                for t, q, n, c in zip((begin + p[ok]).tolist(), m[ok].tolist(), length[ok].tolist(), near[ok].tolist(), strict=True):
+                    for r in row[holders[t] : holders[t + 1]].tolist():
+                        for i in item[first[q] : first[q + 1]].tolist():
+                            best[r, i] = max(best.get((r, i), (0, 0.0)), (n, c))
             if best:
                 at = sorted(best)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in at])), pa.array([i for _, i in at], pa.int64()), pa.array([best[x][0] for x in at], pa.int32()), pa.array([float(best[x][1]) for x in at])], names=["k", "item_id", "lcs", "cosine"])
