@@ -110,7 +110,35 @@ def extract_categories(spark, d):
     return docs(spark, d).select("id", F.explode(D.extract_categories(F.col("v"))).alias("category"))
 
 
-@query("extract_timings")
+def _date(v: str) -> str:
+    return f"case when regexp_matches(trim({v}, ' '), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') then try_cast(substr(trim({v}, ' '), 1, 10) as date) end"
+
+
+def _clock(v: str) -> str:
+    return f"case when regexp_matches(trim({v}, ' '), '^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$') then trim({v}, ' ') when regexp_matches(trim({v}, ' '), '^([01][0-9]|2[0-3]):[0-5][0-9]$') then trim({v}, ' ') || ':00' end"
+
+
+def _timings_sql() -> str:
+    names = {"sd": "startDate", "ed": "endDate", "st": "startTime", "et": "endTime"}
+    picks = ", ".join(f"{_at('p', n, k + 'a')}, {_at('p', 'schema:' + n, k + 'b')}" for k, n in names.items())
+    value = lambda k: f"coalesce(json_extract_string({k}a, '$'), json_extract_string({k}b, '$'))"
+    steps = [
+        DELIVERED,
+        f"a0 as (select id, {_at('v', 'takesPlaceAt', 't')}, {_at('v', 'schema:startDate', 'ds')}, {_at('v', 'schema:endDate', 'de')} from dc)",
+        f"a1 as (select id, t, {_date(DOC_S)} s, {_date(DOC_E)} e from a0)",
+        f"a2 as (select id, s, e, unnest({_members('t')}) p from a1)",
+        f"a3 as (select id, s, e, {picks} from a2 where json_type(p) = 'OBJECT')",
+        f"a4 as (select id, coalesce({_date(value('sd'))}, s) start_date, coalesce({_date(value('ed'))}, e) end_date, {_clock(value('st'))} start_time, {_clock(value('et'))} end_time from a3)",
+        "a5 as (select * from a4 where start_date is not null or end_date is not null or start_time is not null or end_time is not null)",
+    ]
+    alone = "select id, s, e, null, null from a1 where (s is not null or e is not null) and id not in (select id from a5)"
+    return f"with {', '.join(steps)} select distinct id, start_date, end_date, start_time, end_time from a5 union all {alone}"
+
+
+DOC_S, DOC_E = "json_extract_string(ds, '$')", "json_extract_string(de, '$')"
+
+
+@query("extract_timings", _timings_sql())
 def extract_timings(spark, d):
     return docs(spark, d).select("id", F.explode(D.extract_timings(F.col("v"))).alias("t")).select("id", "t.*")
 

@@ -13,7 +13,6 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 #: Queries without SQL and their columns. Those of problems are held against brute force in their own tests.
 BARE = {
     "canonical_hash": "id hash",
-    "extract_timings": "id start_date end_date start_time end_time",
     "itinerary": "day stops",
     "kmeans_days": "id day",
     "kmeans_per_city": "city id day",
